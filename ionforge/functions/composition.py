@@ -1,8 +1,11 @@
 """Formula algebra as Catalyst expressions: no UDF, no shuffle.
 
 A formula is read as a list of items (symbol or bracket, with an optional
-count).  Items are folded from right to left while a stack holds the running
-multipliers, so a count behind a bracket is known before the atoms it covers.
+count).  Flat formulas and formulas whose groups do not nest are expanded
+directly; nested ones are folded from right to left while a stack holds the
+running multipliers, so a count behind a bracket is known before the atoms it
+covers.  Expressions are SQL text: one parse per expression instead of
+thousands of calls into the JVM.
 """
 
 from pyspark.sql import functions as F
@@ -25,15 +28,14 @@ COMPOSITION_TYPE = "array<struct<e:string,n:bigint>>"
 _CAP = 2 * MAX_ATOMS
 
 
-def _capped(product):
-    return F.least(product, F.lit(_CAP))
+def _count(text):
+    return f"if({text} = '', 1L, cast({text} as bigint))"
 
 
 def _items(formula):
     """(symbol, count) items in text order; call only on text that passed the notation checks."""
-    part = lambda group: F.regexp_extract_all(formula, F.lit(PARTS), group)
-    return F.zip_with(part(1), part(2), lambda e, n: F.struct(
-        e.alias("e"), F.when(n == "", F.lit(1).cast("bigint")).otherwise(n.cast("bigint")).alias("n")))
+    part = lambda group: f"regexp_extract_all({formula}, r'{PARTS}', {group})"
+    return f"zip_with({part(1)}, {part(2)}, (e, c) -> named_struct('e', e, 'n', {_count('c')}))"
 
 
 def _unfold(items):
@@ -42,62 +44,46 @@ def _unfold(items):
     The stack holds the running multipliers, negative below a square bracket;
     a bracket that does not match empties it for good.
     """
-    bottom = F.array(F.lit(1).cast("bigint"))
-    start = F.struct(bottom.alias("mult"), F.array().cast(COMPOSITION_TYPE).alias("atoms"))
-
-    def step(s, item):
-        symbol, top = item["e"], F.try_element_at(s["mult"], F.lit(-1))
-        product = _capped(F.abs(top) * item["n"])
-        depth = F.size(s["mult"])
-        popped = (F.when((depth > 1) & ((symbol == "(") == (top > 0)), F.slice(s["mult"], 1, F.greatest(depth - 1, F.lit(0))))
-                  .otherwise(F.array().cast("array<bigint>")))
-        return (
-            F.when(symbol == ")", F.struct(F.concat(s["mult"], F.array(product)).alias("mult"), s["atoms"].alias("atoms")))
-            .when(symbol == "]", F.struct(F.concat(s["mult"], F.array(-product)).alias("mult"), s["atoms"].alias("atoms")))
-            .when(symbol.isin("(", "["), F.struct(popped.alias("mult"), s["atoms"].alias("atoms")))
-            .otherwise(F.struct(s["mult"].alias("mult"), F.concat(
-                s["atoms"], F.array(F.struct(symbol.alias("e"), product.alias("n")))).alias("atoms"))))
-
-    return F.aggregate(F.reverse(items), start, step,
-                       lambda s: F.struct(s["atoms"].alias("atoms"), (~s["mult"].eqNullSafe(bottom)).alias("bad")))
+    product = f"least(abs(try_element_at(s.mult, -1)) * i.n, {_CAP}L)"
+    popped = ("if(size(s.mult) > 1 and (i.e = '(') = (element_at(s.mult, -1) > 0), "
+              "slice(s.mult, 1, size(s.mult) - 1), cast(array() as array<bigint>))")
+    state = lambda mult, atoms: f"named_struct('mult', {mult}, 'atoms', {atoms})"
+    return f"""aggregate(reverse({items}),
+        {state("array(1L)", f"cast(array() as {COMPOSITION_TYPE})")},
+        (s, i) -> case
+            when i.e = ')' then {state(f"concat(s.mult, array({product}))", "s.atoms")}
+            when i.e = ']' then {state(f"concat(s.mult, array(-{product}))", "s.atoms")}
+            when i.e in ('(', '[') then {state(popped, "s.atoms")}
+            else {state("s.mult", f"concat(s.atoms, array(named_struct('e', i.e, 'n', {product})))")} end,
+        s -> named_struct('atoms', s.atoms, 'bad', not (s.mult <=> array(1L))))"""
 
 
 def _ungroup(formula, outside):
     """Atoms of a formula whose groups do not nest; ``outside`` is the text without them."""
-    part = lambda group: F.regexp_extract_all(formula, F.lit(GROUP), group)
-
-    def scaled(inner, count):
-        factor = F.when(count == "", F.lit(1).cast("bigint")).otherwise(count.cast("bigint"))
-        return F.transform(_items(inner), lambda a: F.struct(a["e"].alias("e"), (a["n"] * factor).alias("n")))
-
-    atoms = F.concat(_items(outside), F.flatten(F.zip_with(part(1), part(2), scaled)))
-    return F.struct(atoms.alias("atoms"), formula.rlike(CROSSED).alias("bad"))
+    part = lambda group: f"regexp_extract_all({formula}, r'{GROUP}', {group})"
+    scaled = f"transform({_items('t')}, a -> named_struct('e', a.e, 'n', a.n * {_count('c')}))"
+    return (f"named_struct('atoms', concat({_items(outside)}, flatten(zip_with({part(1)}, {part(2)}, (t, c) -> {scaled}))), "
+            f"'bad', {formula} rlike r'{CROSSED}')")
 
 
 def _too_deep(formula):
     """Nesting beyond the limit; only texts with enough brackets are folded."""
-    brackets = F.regexp_replace(formula, r"[^()\[\]]", "")
-    depth = F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-                        lambda s, b: F.struct(
-                            (s["now"] + F.when(b.isin("(", "["), 1).when(b.isin(")", "]"), -1).otherwise(0)).alias("now"),
-                            F.greatest(s["top"], s["now"] + F.when(b.isin("(", "["), 1).otherwise(0)).alias("top")),
-                        lambda s: s["top"])
-    return F.when(F.length(brackets) > 2 * MAX_DEPTH, depth > MAX_DEPTH).otherwise(F.lit(False))
+    brackets = f"regexp_replace({formula}, r'[^()\\[\\]]', '')"
+    depth = f"""aggregate(split({brackets}, ''), named_struct('now', 0, 'top', 0), (s, b) -> named_struct(
+        'now', s.now + case when b in ('(', '[') then 1 when b in (')', ']') then -1 else 0 end,
+        'top', greatest(s.top, s.now + if(b in ('(', '['), 1, 0))), s -> s.top)"""
+    return f"if(length({brackets}) > {2 * MAX_DEPTH}, {depth} > {MAX_DEPTH}, false)"
 
 
 def _merge(atoms):
-    symbols = F.sort_array(F.array_distinct(F.transform(atoms, lambda a: a["e"])))
+    symbols = f"array_distinct(transform({atoms}, a -> a.e))"
+    summed = (f"transform(sort_array({symbols}), x -> named_struct('e', x, 'n', "
+              f"aggregate(filter({atoms}, a -> a.e = x), 0L, (t, a) -> t + a.n)))")
+    return f"if(size({symbols}) = size({atoms}), sort_array({atoms}), {summed})"
 
-    def total(symbol):
-        return F.aggregate(F.filter(atoms, lambda a: a["e"] == symbol), F.lit(0).cast("bigint"),
-                           lambda acc, a: acc + a["n"])
 
-    summed = F.transform(symbols, lambda s: F.struct(s.alias("e"), total(s).alias("n")))
-    return F.when(F.size(symbols) == F.size(atoms), F.sort_array(atoms)).otherwise(summed)
-
-
-def atoms_in(comp):
-    return F.aggregate(comp, F.lit(0).cast("bigint"), lambda acc, a: acc + a["n"])
+def _total(comp):
+    return f"aggregate({comp}, 0L, (t, a) -> t + a.n)"
 
 
 def parse_formulas(df, **columns):
@@ -105,92 +91,72 @@ def parse_formulas(df, **columns):
 
     Each step is its own projection, so Catalyst evaluates it once per row.
     """
-    tmp = {}
-    step1 = {}
-    for out, name in columns.items():
-        f = F.col(name)
-        error = (
-            F.when(f.isNull() | (f == "") | (F.length(f) > MAX_LENGTH), "empty_or_oversized")
-            .when(F.regexp_replace(f, ITEM, "") != "", "unsupported_notation")
-            .when(f.rlike(EMPTY_GROUP), "empty_group")
-            .when(f.rlike(BAD_COUNT), "invalid_count")
-        )
-        tmp[out] = (f"__{out}_err", f"__{out}_fold", f"__{out}_rest")
-        step1[tmp[out][0]] = error
-    df = df.withColumns(step1)
-    df = df.withColumns({tmp[out][2]: F.when(F.col(tmp[out][0]).isNull(), F.regexp_replace(name, GROUP, ""))
-                         for out, name in columns.items()})
-    step2 = {}
-    for out, name in columns.items():
-        f, outside = F.col(name), F.col(tmp[out][2])
-        flat = F.struct(_items(f).alias("atoms"), F.lit(False).alias("bad"))
-        step2[tmp[out][1]] = F.when(outside.isNotNull(), F.when(outside == f, F.when(f.rlike(BRACKET), _unfold(_items(f))).otherwise(flat))
-                                    .when(outside.rlike(BRACKET), _unfold(_items(f)))
-                                    .otherwise(_ungroup(f, outside)))
-    df = df.withColumns(step2)
-    step3 = {}
-    for out in columns:
-        error, fold = F.col(tmp[out][0]), F.col(tmp[out][1])
-        unknown = F.exists(fold["atoms"], lambda a: ~a["e"].isin(*ELEMENTS))
-        late = (
-            F.when(fold["bad"], "unbalanced_group")
-            .when(_too_deep(F.col(columns[out])), "nesting_limit")
-            .when(unknown, "unknown_element")
-            .when(atoms_in(fold["atoms"]) > MAX_ATOMS, "atom_limit")
-        )
-        step3[tmp[out][0]] = F.coalesce(error, late)
-    df = df.withColumns(step3)
-    return df.withColumns({
-        out: F.struct(
-            F.when(F.col(tmp[out][0]).isNull(), _merge(F.col(tmp[out][1])["atoms"])).alias("comp"),
-            F.col(tmp[out][0]).alias("error"),
-        ) for out in columns
-    }).drop(*[n for pair in tmp.values() for n in pair])
-
-
-def _gcd2(a, b):
-    pair = F.struct(a.alias("x"), b.alias("y"))
-    euclid = F.aggregate(
-        F.sequence(F.lit(1), F.lit(48)), pair,
-        lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"),
-                              F.when(s["y"] == 0, s["y"]).otherwise(s["x"] % s["y"]).alias("y")),
-        lambda s: s["x"])
-    return F.when(a == 1, a).when(b % a == 0, a).otherwise(euclid)
-
-
-def gcd_of(counts):
-    """Greatest common divisor of an array of positive integers (null if empty)."""
-    smallest = F.array_min(counts)
-    return F.when(smallest == 1, smallest).otherwise(F.aggregate(counts, smallest, _gcd2))
-
-
-def counts_of(comp):
-    return F.transform(comp, lambda a: a["n"])
-
-
-def divide_counts(comp, divisor):
-    divided = F.transform(comp, lambda a: F.struct(a["e"].alias("e"), F.call_function("div", a["n"], divisor).alias("n")))
-    return F.when(divisor == 1, comp).otherwise(divided)
-
-
-def reduce_composition(comp):
-    return divide_counts(comp, gcd_of(counts_of(comp)))
+    known = ", ".join(f"'{e}'" for e in ELEMENTS)
+    step = lambda make: df.withColumns({k: F.expr(v) for out, f in columns.items() for k, v in make(out, f).items()})
+    err, fold, rest = (lambda o: f"__{o}_err"), (lambda o: f"__{o}_fold"), (lambda o: f"__{o}_rest")
+    df = step(lambda o, f: {err(o): f"""case
+        when {f} is null or {f} = '' or length({f}) > {MAX_LENGTH} then 'empty_or_oversized'
+        when regexp_replace({f}, r'{ITEM}', '') <> '' then 'unsupported_notation'
+        when {f} rlike r'{EMPTY_GROUP}' then 'empty_group'
+        when {f} rlike r'{BAD_COUNT}' then 'invalid_count' end"""})
+    df = step(lambda o, f: {rest(o): f"if({err(o)} is null, regexp_replace({f}, r'{GROUP}', ''), null)"})
+    df = step(lambda o, f: {fold(o): f"""case
+        when {rest(o)} is null then null
+        when {rest(o)} rlike r'{BRACKET}' then {_unfold(_items(f))}
+        when {rest(o)} = {f} then named_struct('atoms', {_items(f)}, 'bad', false)
+        else {_ungroup(f, rest(o))} end"""})
+    df = step(lambda o, f: {err(o): f"""coalesce({err(o)}, case
+        when {fold(o)}.bad then 'unbalanced_group'
+        when {_too_deep(f)} then 'nesting_limit'
+        when exists({fold(o)}.atoms, a -> a.e not in ({known})) then 'unknown_element'
+        when {_total(fold(o) + ".atoms")} > {MAX_ATOMS} then 'atom_limit' end)"""})
+    df = step(lambda o, f: {o: f"named_struct('comp', if({err(o)} is null, {_merge(fold(o) + '.atoms')}, null), 'error', {err(o)})"})
+    return df.drop(*[name(o) for o in columns for name in (err, fold, rest)])
+
+
+def _gcd(comp):
+    """Greatest common divisor of the counts (null for an empty composition)."""
+    euclid = ("aggregate(sequence(1, 48), named_struct('x', g, 'y', n), (s, k) -> "
+              "if(s.y = 0, s, named_struct('x', s.y, 'y', s.x % s.y)), s -> s.x)")
+    counts = f"transform({comp}, a -> a.n)"
+    low = f"array_min({counts})"
+    return f"if({low} = 1, 1L, aggregate({counts}, {low}, (g, n) -> case when g = 1 or n % g = 0 then g else {euclid} end))"
+
+
+def _divide(comp, divisor):
+    return f"if({divisor} = 1, {comp}, transform({comp}, a -> named_struct('e', a.e, 'n', a.n div {divisor})))"
+
+
+def composition_gcd(comp):
+    return F.expr(_gcd(comp))
+
+
+def atoms_in(comp):
+    return F.expr(_total(comp))
+
+
+def reduce_composition(df, **columns):
+    """Add ``out``: composition column divided by the gcd of its counts, still sorted by element."""
+    div = lambda o: f"__{o}_gcd"
+    df = df.withColumns({div(o): F.expr(_gcd(c)) for o, c in columns.items()})
+    return df.withColumns({o: F.expr(_divide(c, div(o))) for o, c in columns.items()}).drop(*[div(o) for o in columns])
 
 
 def host_key(comp, pair=":", sep="|"):
-    return F.array_join(F.transform(comp, lambda a: F.concat(a["e"], F.lit(pair), a["n"].cast("string"))), sep)
-
-
-def with_host(df, comp, ion, out):
-    """Add ``out``: struct(host, host_key, divisor, ion_count, loading, fraction); null if no host remains."""
-    c, rest, div = F.col(comp), f"__{out}_rest", f"__{out}_div"
-    ion_col = F.col(ion)
-    df = df.withColumn(rest, F.filter(c, lambda a: a["e"] != F.coalesce(ion_col, F.lit(""))))
-    df = df.withColumn(div, gcd_of(counts_of(F.col(rest))))
-    n_ion = F.coalesce(F.try_element_at(F.filter(c, lambda a: a["e"] == ion_col), F.lit(1))["n"], F.lit(0).cast("bigint"))
-    n_rest = atoms_in(F.col(rest))
-    host = divide_counts(F.col(rest), F.col(div))
-    df = df.withColumn(out, F.when(F.size(rest) > 0, F.struct(
-        host.alias("host"), F.col(div).alias("divisor"), n_ion.alias("ion_count"),
-        (n_ion / F.col(div)).alias("loading"), (n_ion / (n_ion + n_rest)).alias("fraction"))))
-    return df.drop(rest, div)
+    """Canonical text of a composition column (given by name)."""
+    return F.expr(f"array_join(transform({comp}, a -> concat(a.e, '{pair}', a.n)), '{sep}')")
+
+
+def with_host(df, ion, **columns):
+    """Add ``out``: struct(host, divisor, ion_count, loading, fraction); null if no host remains."""
+    rest, div = (lambda o: f"__{o}_rest"), (lambda o: f"__{o}_div")
+    df = df.withColumns({rest(o): F.expr(f"filter({c}, a -> not (a.e <=> {ion}))") for o, c in columns.items()})
+    df = df.withColumns({div(o): F.expr(_gcd(rest(o))) for o in columns})
+
+    def struct(o, c):
+        n_ion = f"({_total(c)} - {_total(rest(o))})"
+        return f"""if(size({rest(o)}) > 0, named_struct('host', {_divide(rest(o), div(o))}, 'divisor', {div(o)},
+            'ion_count', {n_ion}, 'loading', {n_ion} / cast({div(o)} as double), 'fraction', {n_ion} / cast({_total(c)} as double)), null)"""
+
+    df = df.withColumns({o: F.expr(struct(o, c)) for o, c in columns.items()})
+    return df.drop(*[name(o) for o in columns for name in (rest, div)])

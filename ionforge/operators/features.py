@@ -73,9 +73,7 @@ def reaction_states(rows):
     """Parsed endpoints and the first reason (``reaction_error``) a reaction has no vector."""
     rows = normalize_reaction(rows)
     rows = parse_formulas(rows, fc="formula_charge", fd="formula_discharge")
-    rows = rows.withColumns({f"comp_{s}": F.col(f"f{s[0]}.comp") for s in SIDES})
-    for s in SIDES:
-        rows = with_host(rows, f"comp_{s}", "working_ion", f"host_{s}")
+    rows = with_host(rows, "working_ion", host_charge="fc.comp", host_discharge="fd.comp")
     checks = [(F.lit(True), F.col("input_error")),
               (~F.coalesce(F.col("working_ion").isin(*IONS), F.lit(False)), F.lit("unsupported working ion"))]
     for s in SIDES:
@@ -95,29 +93,22 @@ def _entry(idx, val):
     return F.struct(idx.cast("int").alias("idx"), val.cast("double").alias("val"))
 
 
-def _numbers(comp):
-    number = _literal_map(ATOMIC_NUMBER.items())
-    return F.transform(comp, lambda a: F.struct(number[a["e"]].alias("z"), a["n"].alias("n")))
-
-
 def composition_entries(rows):
     """Add ``frac_*`` (atomic number, atom fraction) arrays, the base of blocks one and two."""
-    rows = rows.withColumns({f"__z_{s}": _numbers(F.col(f"comp_{s}")) for s in SIDES})
-    rows = rows.withColumns({f"__t_{s}": atoms_in(F.col(f"__z_{s}")).cast("double") for s in SIDES})
-    return rows.withColumns({f"frac_{s}": F.array_sort(F.transform(
-        f"__z_{s}", lambda a: F.struct(a["z"].alias("z"), (a["n"] / F.col(f"__t_{s}")).alias("f")))) for s in SIDES})
+    numbers = "map(" + ", ".join(f"'{e}', {z}" for e, z in ATOMIC_NUMBER.items()) + ")"
+    comps = {"charge": "fc.comp", "discharge": "fd.comp"}
+    rows = rows.withColumns({f"__t_{s}": atoms_in(c).cast("double") for s, c in comps.items()})
+    return rows.withColumns({f"frac_{s}": F.expr(
+        f"sort_array(transform({c}, a -> named_struct('z', {numbers}[a.e], 'f', a.n / __t_{s})))") for s, c in comps.items()})
 
 
 def composition_stats(frac):
-    """Weighted atomic-number and fraction summaries of one endpoint, in column order."""
-    zero = F.lit(0.0)
-    total = lambda value: F.aggregate(frac, zero, lambda acc, a: acc + value(a))
-    mean = total(lambda a: a["z"] * a["f"])
-    square = total(lambda a: a["f"] * a["z"] * a["z"])
-    z = F.transform(frac, lambda a: a["z"])
-    spread = F.when(F.size(frac) == 1, F.lit(0.0)).otherwise(F.sqrt(F.greatest(square - mean * mean, zero)))
-    return [mean, spread, F.array_min(z), F.array_max(z), F.size(frac),
-            -total(lambda a: a["f"] * F.log(a["f"])), F.sqrt(total(lambda a: a["f"] * a["f"]))]
+    """Weighted atomic-number and fraction summaries of one endpoint, in column order (SQL text)."""
+    total = lambda value: f"aggregate({frac}, 0.0D, (t, a) -> t + {value})"
+    mean = total("a.z * a.f")
+    spread = f"if(size({frac}) = 1, 0.0D, sqrt(greatest({total('a.f * a.z * a.z')} - {mean} * {mean}, 0.0D)))"
+    z = f"transform({frac}, a -> a.z)"
+    return [mean, spread, f"array_min({z})", f"array_max({z})", f"size({frac})", f"-{total('a.f * ln(a.f)')}", f"sqrt({total('a.f * a.f')})"]
 
 
 def ion_entries(ion):
@@ -145,10 +136,11 @@ def assemble_features(rows, keep):
     blocks = []
     for s in SIDES:
         base = _OFFSET[f"{s}_atom_fraction_H"] - 1
-        blocks.append(F.transform(f"frac_{s}", lambda a, base=base: _entry(a["z"] + base, a["f"])))
+        blocks.append(F.expr(f"transform(frac_{s}, a -> named_struct('idx', a.z + {base}, 'val', a.f))"))
     for s in SIDES:
         base = _OFFSET[f"{s}_atomic_number_mean"]
-        blocks.append(F.array(*[_entry(F.lit(base + i), v) for i, v in enumerate(composition_stats(F.col(f"frac_{s}")))]))
+        stats = [f"named_struct('idx', {base + i}, 'val', cast({v} as double))" for i, v in enumerate(composition_stats(f"frac_{s}"))]
+        blocks.append(F.expr(f"array({', '.join(stats)})"))
     blocks.append(F.array(*ion_entries(F.col("working_ion"))))
     base = _OFFSET["fracA_charge"]
     blocks.append(F.array(*[_entry(F.lit(base + i), v) for i, v in enumerate(interval_values())]))

@@ -38,12 +38,9 @@ def with_reaction_algebra(rows, ion="working_ion"):
     same = F.col("framework_formula").eqNullSafe(F.col("formula_charge"))
     rows = rows.withColumn("__own_framework", F.when(~same, F.col("framework_formula")))
     rows = parse_formulas(rows, __fc="formula_charge", __fd="formula_discharge", __fo="__own_framework")
-    rows = rows.withColumns({"__comp_charge": F.col("__fc.comp"), "__comp_discharge": F.col("__fd.comp"),
-                             "__ff": F.when(same, F.col("__fc")).otherwise(F.col("__fo"))}).drop("__own_framework", "__fo")
-    for side in SIDES:
-        rows = with_host(rows, f"__comp_{side}", ion, f"__host_{side}")
-    framework = F.when(F.col("__ff.error").isNull(), reduce_composition(F.col("__ff.comp")))
-    return rows.withColumn("__framework", framework)
+    rows = rows.withColumn("__ff", F.when(same, F.col("__fc")).otherwise(F.col("__fo"))).drop("__own_framework", "__fo")
+    rows = with_host(rows, ion, __host_charge="__fc.comp", __host_discharge="__fd.comp")
+    return reduce_composition(rows, __framework="__ff.comp")
 
 
 def reaction_consistency(rows, tolerance=1e-6):
@@ -63,7 +60,7 @@ def reaction_consistency(rows, tolerance=1e-6):
         **added, "delta_ion_per_reduced_host": delta,
         "host_changed": both & ~same, "framework_mismatch": both & same & ~on_framework,
         "non_increasing_loading": F.coalesce(delta <= 0, F.lit(False)),
-        "canonical_host": F.when(both & same & on_framework, host_key(hc["host"])).otherwise(""),
+        "canonical_host": F.when(both & same & on_framework, host_key("__host_charge.host")).otherwise(""),
     })
     mismatch = {f"fraction_mismatch_{s}": F.coalesce(F.col(f"fraction_error_{s}") > tolerance, F.lit(False)) for s in SIDES}
     return rows.withColumns(mismatch)
@@ -125,14 +122,13 @@ def validation_rules(rows, settings=SplitSettings()):
         "symmetry_checks_passed": F.size("__symmetry") == 0,
         "review_flags": canonical_flags(flags(review), carried),
         "priority_voltage_review": priority, "label": voltage,
-    }).drop("__composition", "__symmetry", "__fc", "__fd", "__ff", "__comp_charge", "__comp_discharge",
-            "__host_charge", "__host_discharge")
+    }).drop("__composition", "__symmetry", "__fc", "__fd", "__ff", "__host_charge", "__host_discharge")
 
 
 def _reduced_endpoint_keys(rows):
     rows = parse_formulas(rows, __fc="formula_charge", __fd="formula_discharge")
-    return rows.withColumns({
-        f"__reduced_{s}": host_key(reduce_composition(F.col(f"__f{s[0]}.comp"))) for s in SIDES}).drop("__fc", "__fd")
+    rows = reduce_composition(rows, __rc="__fc.comp", __rd="__fd.comp")
+    return rows.withColumns({f"__reduced_{s}": host_key(f"__r{s[0]}") for s in SIDES}).drop("__fc", "__fd", "__rc", "__rd")
 
 
 def conflicting_endpoint_ids(rows):
