@@ -10,10 +10,12 @@ executor never replays earlier rounds.
 
 from pyspark.sql import functions as F
 
-from ionforge.operators.skew import attach
+from ionforge.operators.skew import attach_stored
 from ionforge.session import stored
 
 MAX_ROUNDS = 60
+# Once contraction has left this few edges, the rest is settled in one step.
+RESIDUAL_EDGES = 20_000
 
 
 def row_tokens(rows, kinds):
@@ -34,19 +36,38 @@ def _round_labels(edges, turn):
 def _relabel(edges, labels):
     for end in ("u", "v"):
         table = labels.select(F.col("x").alias(end), F.col("label").alias(f"__{end}"), "n")
-        edges = attach(edges, table, [end], [f"__{end}"], ["u", "v"])
+        edges = attach_stored(edges, table, [end], [f"__{end}"], ["u", "v"])
     a, b = F.col("__u"), F.col("__v")
     return (edges.where(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
 
 
+def _residual_labels(edges):
+    """Labels of a contracted graph of at most RESIDUAL_EDGES edges."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for u, v in edges.collect():
+        parent[root(u)] = root(v)
+    rows = [(x, root(x), 1) for x in list(parent)]
+    return edges.sparkSession.createDataFrame(rows, "x string, label string, n bigint")
+
+
 def token_components(edges):
     """Representative of every token that has at least one edge: columns ``token``, ``rep``."""
     edges = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     rounds = []
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= RESIDUAL_EDGES:
+            rounds.append(_residual_labels(edges))
+            break
         if len(rounds) == MAX_ROUNDS:
             raise RuntimeError("component contraction did not converge")
-        labels = _round_labels(edges, len(rounds))
+        labels = stored(_round_labels(edges, len(rounds)), "labels")
         rounds.append(labels)
         edges = stored(_relabel(edges, labels), "edges")
     if not rounds:
@@ -55,9 +76,9 @@ def token_components(edges):
     for labels in reversed(rounds[:-1]):
         # Many tokens may point at one label, so the lookup is balanced by label frequency.
         size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        step = size.join(final.select(F.col("x").alias("label"), F.col("label").alias("next")), "label")
-        final = attach(labels.select("x", "label"), step, ["label"], ["next"], ["x"])
-        final = stored(final.select("x", F.coalesce("next", "label").alias("label")), "labels")
+        step = stored(size.join(final.select(F.col("x").alias("label"), F.col("label").alias("next")), "label"), "labels")
+        final = attach_stored(labels.select("x", "label"), step, ["label"], ["next"], ["x"])
+        final = final.select("x", F.coalesce("next", "label").alias("label"))
     return final.select(F.col("x").alias("token"), F.col("label").alias("rep"))
 
 
@@ -76,10 +97,10 @@ def connected_groups(rows, uid, kinds, out="group_id", prefix="g_"):
     per_token = per_token.join(reps.withColumnRenamed("token", "__token"), "__token", "left")
     per_token = per_token.withColumn("__rep", F.coalesce("rep", "__token")).drop("rep")
     per_token = stored(per_token, "tokens")
-    smallest = per_token.groupBy("__rep").agg(F.min("__uid").alias("__min"), F.count(F.lit(1)).alias("n"))
-    labelled = attach(per_token.withColumnRenamed("n", "__rows"), smallest, ["__rep"], ["__min"], ["__token"])
-    table = labelled.select("__token", "__min", F.col("__rows").alias("n"))
-    found = attach(rows, table, ["__token"], ["__min"], [uid])
+    smallest = stored(per_token.groupBy("__rep").agg(F.min("__uid").alias("__min"), F.count(F.lit(1)).alias("n")), "smallest")
+    labelled = attach_stored(per_token.withColumnRenamed("n", "__rows"), smallest, ["__rep"], ["__min"], ["__token"])
+    table = stored(labelled.select("__token", "__min", F.col("__rows").alias("n")), "token-groups")
+    found = attach_stored(rows, table, ["__token"], ["__min"], [uid])
     return found.withColumn(out, F.concat(F.lit(prefix), F.coalesce("__min", F.col(uid)))).drop("__token", "__min")
 
 

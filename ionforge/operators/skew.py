@@ -46,6 +46,13 @@ def attach(df, stats, keys, values, spread, n="n"):
     return _balanced_left_join(df, stats, hot_rows(stats, n), keys, values, spread)
 
 
+def attach_stored(df, stats, keys, values, spread, n="n"):
+    """``attach`` for statistics that are already stored: one cheap look decides whether salting is needed."""
+    if not stats.where(F.col(n) > HOT_FLOOR).isEmpty():
+        return attach(df, stats, keys, values, spread, n)
+    return df.join(stats.select(*keys, *values), list(keys), "left")
+
+
 def lookup(df, dim, keys, values, spread, counted=None):
     """Left-join a large dimension (unique keys) when the fact keys may be skewed.
 

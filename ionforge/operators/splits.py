@@ -143,7 +143,7 @@ def fold_overlap_counts(rows, fold, folds, kinds=OVERLAP_KINDS):
     """
     if folds > 62:
         raise ValueError("fold bitmaps hold at most 62 folds")
-    bits = F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col(fold)))
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast({fold} as int))"))
     spans = (_tokens(rows.where(F.col(fold).isNotNull()), [fold], kinds).groupBy("kind", "token")
              .agg(bits.alias("bits")).where(F.bit_count("bits") > 1))
     folds_of = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.getbit(F.col("bits"), f) == 1)

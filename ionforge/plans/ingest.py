@@ -39,7 +39,7 @@ def read_jsonl_torn_tail(spark, sf):
 def read_strict_csv(spark, sf):
     path = scratch_path(spark, "csv")
     table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("name"),
-                                    F.concat(F.lit(' "q", '), "p_type").alias("quoted"), F.lit("").alias("blank")).write.option("header", True).option("escape", '"').csv(path)
+                                    F.concat(F.lit(' "q", '), "p_type").alias("quoted"), F.lit("").alias("blank")).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return tables.read_strict_csv(spark, path, ["key", "name"])
 
 

@@ -9,7 +9,7 @@ from ionforge.rules import flag_text
 
 def read_strict_csv(spark, path, required=()):
     """All-text CSV: unique headers, no missing columns, no short or surplus rows in any file."""
-    head = spark.read.option("header", False).csv(path).limit(1).collect()
+    head = spark.read.option("header", False).option("escape", '"').csv(path).limit(1).collect()
     names = [v for v in head[0]] if head else []
     if not names or any(not n for n in names) or len(set(names)) != len(names):
         raise ValueError("CSV has missing or duplicate headers")
@@ -18,7 +18,7 @@ def read_strict_csv(spark, path, required=()):
         raise ValueError("missing CSV columns: " + ", ".join(missing))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            .option("mode", "FAILFAST").option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+            .option("mode", "FAILFAST").option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path))
     return rows.fillna("")
 
 
@@ -31,7 +31,7 @@ def write_interval_tables(rows, path, columns=INTERVAL_FIELDS, fmt="csv"):
     """Fixed column order with flag arrays flattened to ``;`` text."""
     writer = _flat(rows, columns).write.mode("errorifexists")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.format(fmt).save(path)
     return path
