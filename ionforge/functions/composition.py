@@ -86,6 +86,16 @@ def _total(comp):
     return f"aggregate({comp}, 0L, (t, a) -> t + a.n)"
 
 
+def evaluated_once(df, *names):
+    """Pass computed columns through a one-row generator.
+
+    A filter on them is then applied to the value instead of being pushed
+    below, where the optimizer would repeat the whole expression.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
 def parse_formulas(df, **columns):
     """Add one parsed struct ``<comp, error>`` per ``out=formula_column``.
 
@@ -111,7 +121,7 @@ def parse_formulas(df, **columns):
         when exists({fold(o)}.atoms, a -> a.e not in ({known})) then 'unknown_element'
         when {_total(fold(o) + ".atoms")} > {MAX_ATOMS} then 'atom_limit' end)"""})
     df = step(lambda o, f: {o: f"named_struct('comp', if({err(o)} is null, {_merge(fold(o) + '.atoms')}, null), 'error', {err(o)})"})
-    return df.drop(*[name(o) for o in columns for name in (err, fold, rest)])
+    return evaluated_once(df.drop(*[name(o) for o in columns for name in (err, fold, rest)]), *columns)
 
 
 def _gcd(comp):
@@ -159,4 +169,4 @@ def with_host(df, ion, **columns):
             'ion_count', {n_ion}, 'loading', {n_ion} / cast({div(o)} as double), 'fraction', {n_ion} / cast({_total(c)} as double)), null)"""
 
     df = df.withColumns({o: F.expr(struct(o, c)) for o, c in columns.items()})
-    return df.drop(*[name(o) for o in columns for name in (rest, div)])
+    return evaluated_once(df.drop(*[name(o) for o in columns for name in (rest, div)]), *columns)

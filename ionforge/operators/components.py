@@ -8,6 +8,7 @@ geometrically.  Every round is written to the shared folder, so a lost
 executor never replays earlier rounds.
 """
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ionforge.operators.skew import attach_stored
@@ -43,17 +44,19 @@ def _relabel(edges, labels):
 
 def _residual_labels(edges):
     """Labels of a contracted graph of at most RESIDUAL_EDGES edges."""
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for u, v in edges.collect():
-        parent[root(u)] = root(v)
-    rows = [(x, root(x), 1) for x in list(parent)]
+    pairs = edges.toPandas()
+    nodes, codes = np.unique(pairs[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+    u, v = codes.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    rows = [(str(x), str(nodes[j]), 1) for x, j in zip(nodes, label)]
     return edges.sparkSession.createDataFrame(rows, "x string, label string, n bigint")
 
 

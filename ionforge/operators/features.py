@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ionforge.constants import (ATOMIC_NUMBER, ELEMENTS, FRACTION_TOLERANCE, ION_PERIOD, IONS, N_SPACEGROUPS,
                                 OPTIONAL_REACTION_FIELDS, REACTION_FIELDS, SIDES, SYSTEMS)
-from ionforge.functions.composition import atoms_in, parse_formulas, with_host
+from ionforge.functions.composition import atoms_in, evaluated_once, parse_formulas, with_host
 from ionforge.functions.values import crystal_system, finite_number, has_text, integral_number, stripped
 
 # Order of the composition summaries and the interval columns.
@@ -86,7 +86,7 @@ def reaction_states(rows):
     checks += [(F.col("host_charge.host") != F.col("host_discharge.host"), F.lit("endpoint hosts differ")),
                (F.col("host_discharge.loading") <= F.col("host_charge.loading"), F.lit("loading does not increase"))]
     error = F.coalesce(*[F.when(p, m) for p, m in checks])
-    return rows.withColumn("reaction_error", error)
+    return evaluated_once(rows.withColumn("reaction_error", error), "reaction_error")
 
 
 def _entry(idx, val):
