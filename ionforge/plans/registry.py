@@ -4,7 +4,7 @@ import importlib
 
 from pyspark.sql import functions as F
 
-MODULES = ("ingest", "quality", "partitions", "featurize")
+MODULES = ("ingest", "quality", "partitions", "featurize", "modelling", "serving")
 
 
 def all_queries():
