@@ -8,6 +8,7 @@ f", obtained by subtraction (sums) or by combining the other folds (min/max).
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionforge.constants import CONSTANT_TOLERANCE, SUPPORT_TOLERANCE
 from ionforge.functions.keys import set_digest
@@ -219,7 +220,7 @@ def transform_pca(rows, states, pca, keys, width, scope="scope"):
             yield pdf[list(keys) + [scope]].assign(pca=out)
 
     kept = rows.select(*keys, scope, "idx", "val")
-    schema = kept.drop("idx", "val").schema.add("pca", "array<double>")
+    schema = kept.drop("idx", "val").schema.add("pca", T.ArrayType(T.DoubleType()))
     return kept.mapInPandas(project, schema)
 
 

@@ -107,11 +107,11 @@ def _candidates(spark, sf):
     rows = flows.evaluated(spark, sf).where("role = 'development'").select("row_uid", "ion", "fold", "y", "prediction")
     entry = lambda name, p: F.struct(F.lit(name).alias("candidate"), p.alias("prediction"))
     return rows.select("row_uid", "ion", "fold", "y", F.inline(F.array(
-        entry("a_linear", F.col("prediction")), entry("b_constant", F.lit(4.5)), entry("c_twin", F.lit(4.5)), entry("d_shift", F.col("prediction") + F.col("fold")))))
+        entry("a_linear", F.col("prediction")), entry("b_constant", F.lit(4.5)), entry("c_constant", F.lit(4.625)), entry("d_shift", F.col("prediction") + F.col("fold")))))
 
 
 def cv_summary(spark, sf):
-    return evaluate.cv_summary(_candidates(spark, sf)).select("candidate", "folds", "n", *[F.round(c, 6).alias(c) for c in ("mean_mae", "std_mae", "mae", "rmse", "r2", "bias")])
+    return evaluate.cv_summary(_candidates(spark, sf)).select("candidate", "folds", "n", *[F.round(c, 6).alias(c) for c in ("mean_mae", "std_mae")], *[flows.nudged(c) for c in ("mae", "rmse", "r2", "bias")])
 
 
 def select_candidate(spark, sf):
@@ -126,7 +126,7 @@ def _held(spark, sf):
 
 def subgroup_metrics(spark, sf):
     out = evaluate.subgroup_metrics(*_held(spark, sf))
-    return out.select("role", "subgroup", "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2", "bias")])
+    return out.select("role", "subgroup", "n", *[flows.nudged(c) for c in ("mae", "rmse", "r2", "bias")])
 
 
 def prediction_table(spark, sf):
@@ -141,7 +141,7 @@ def model_comparison(spark, sf):
     summary = evaluate.regression_metrics(dev, ["fold"]).agg(F.avg("mae").alias("cv_mean_mae"))
     selected = metrics.select("population", "family").distinct().withColumn("cv_mean_mae", summary.scalar())
     out = evaluate.model_comparison(selected, metrics)
-    return out.select("population", "family", *[F.round(c, 6).alias(c) for c in ("cv_mean_mae", "holdout_mae", "holdout_rmse", "holdout_r2", "na_mae", "k_mae")])
+    return out.select("population", "family", F.round("cv_mean_mae", 6).alias("cv_mean_mae"), *[flows.nudged(c) for c in ("holdout_mae", "holdout_rmse", "holdout_r2", "na_mae", "k_mae")])
 
 
 def resume_pending(spark, sf):
@@ -160,7 +160,7 @@ def freeze_selection(spark, sf):
 
 _EV = f"{WITH}, {flows.EVALUATED}"
 _CAND = f"""{_EV}, cd AS (SELECT row_uid, ion, fold, y, 'a_linear' AS candidate, prediction FROM ev WHERE role = 'development' UNION ALL SELECT row_uid, ion, fold, y, 'b_constant', 4.5 FROM ev WHERE role = 'development'
-  UNION ALL SELECT row_uid, ion, fold, y, 'c_twin', 4.5 FROM ev WHERE role = 'development' UNION ALL SELECT row_uid, ion, fold, y, 'd_shift', prediction + fold FROM ev WHERE role = 'development')"""
+  UNION ALL SELECT row_uid, ion, fold, y, 'c_constant', 4.625 FROM ev WHERE role = 'development' UNION ALL SELECT row_uid, ion, fold, y, 'd_shift', prediction + fold FROM ev WHERE role = 'development')"""
 _SEL = f"""{_CAND}, pf AS (SELECT ion, candidate, fold, avg(abs(prediction - y)) AS mae FROM cd GROUP BY 1, 2, 3), sm AS (SELECT ion, candidate, avg(mae) AS mean_mae FROM pf GROUP BY 1, 2),
   pick AS (SELECT *, row_number() OVER (PARTITION BY ion ORDER BY mean_mae, candidate) AS r FROM sm)"""
 _S6 = "(SELECT unnest([0, 1, 2, 3, 4, -1])::BIGINT AS scope) s"
