@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ionforge.session import stored
+
 HOT_KEYS = 1000
 HOT_FLOOR = 100_000
 SALTS = 4096
@@ -25,32 +27,39 @@ def hot_rows(stats, n="n"):
 
 
 def _balanced_left_join(df, table, hot, keys, values, spread):
+    """Left join on ``keys``; ``hot`` is the bounded table of hot keys, or None when there are none."""
     columns = [F.col(c) for c in df.columns]
     packed = F.struct(*[F.col(v) for v in values])
-    hot_side = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], packed.alias("__hot")))
-    out = df.join(hot_side, _all([F.col(k) == F.col(f"__h_{k}") for k in keys]), "left")
-    unkeyed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(F.col("__hot").isNotNull() | unkeyed, 1 + F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    salted = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    out = df
+    if hot is not None:
+        hot_side = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], packed.alias("__hot")))
+        out = out.join(hot_side, _all([F.col(k) == F.col(f"__h_{k}") for k in keys]), "left")
+        salted = salted | F.col("__hot").isNotNull()
+    salt = F.when(salted, 1 + F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     out = out.withColumn("__salt", F.coalesce(salt, F.lit(0)).cast("bigint"))
     # The table's salt is always 0 but not a literal, so it stays a hash key of the join.
     cold = table.select(*[F.col(k).alias(f"__c_{k}") for k in keys],
                         F.pmod(F.xxhash64(*keys), F.lit(1)).cast("bigint").alias("__cs"), packed.alias("__cold"))
     on = [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__salt") == F.col("__cs")]
     out = out.join(cold, _all(on), "left")
-    found = F.coalesce(F.col("__hot"), F.col("__cold"))
+    found = F.col("__cold") if hot is None else F.coalesce(F.col("__hot"), F.col("__cold"))
     return out.select(*columns, *[found[v].alias(v) for v in values])
 
 
 def attach(df, stats, keys, values, spread, n="n"):
-    """Left-join per-key statistics (one row per key, with row count ``n``) to their rows."""
-    return _balanced_left_join(df, stats, hot_rows(stats, n), keys, values, spread)
+    """Left-join per-key statistics (one row per key, with row count ``n``) to their rows.
+
+    The statistics are stored first, so they are aggregated once.
+    """
+    kept = stats.select(*dict.fromkeys([*keys, *values, n]))
+    return attach_stored(df, stored(kept, "stats"), keys, values, spread, n)
 
 
 def attach_stored(df, stats, keys, values, spread, n="n"):
-    """``attach`` for statistics that are already stored: one cheap look decides whether salting is needed."""
-    if not stats.where(F.col(n) > HOT_FLOOR).isEmpty():
-        return attach(df, stats, keys, values, spread, n)
-    return df.join(stats.select(*keys, *values), list(keys), "left")
+    """``attach`` for stored statistics: one cheap look tells whether any key is hot."""
+    skewed = not stats.where(F.col(n) > HOT_FLOOR).isEmpty()
+    return _balanced_left_join(df, stats, hot_rows(stats, n) if skewed else None, keys, values, spread)
 
 
 def lookup(df, dim, keys, values, spread, counted=None):
@@ -59,5 +68,6 @@ def lookup(df, dim, keys, values, spread, counted=None):
     ``counted`` may name a cheaper plan of the same rows to count keys from.
     """
     freq = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = dim.join(F.broadcast(hot_rows(freq).select(*keys)), keys, "left_semi")
+    top = stored(hot_rows(freq).select(*keys), "hot")
+    hot = None if top.isEmpty() else dim.join(F.broadcast(top), keys, "left_semi")
     return _balanced_left_join(df, dim, hot, keys, values, spread)

@@ -7,7 +7,7 @@ from ionforge.functions.composition import host_key, parse_formulas, reduce_comp
 from ionforge.functions.keys import fingerprint, row_uid
 from ionforge.functions.values import crystal_system, finite_number, has_text, is_digits, stripped
 from ionforge.operators.dedup import flag_exact_duplicate_rows, flag_identity_conflict
-from ionforge.operators.skew import attach
+from ionforge.operators.skew import attach, attach_stored
 from ionforge.rules import canonical_flags, flags, join_flags
 from ionforge.session import stored
 
@@ -40,7 +40,8 @@ def with_reaction_algebra(rows, ion="working_ion"):
     rows = parse_formulas(rows, __fc="formula_charge", __fd="formula_discharge", __fo="__own_framework")
     rows = rows.withColumn("__ff", F.when(same, F.col("__fc")).otherwise(F.col("__fo"))).drop("__own_framework", "__fo")
     rows = with_host(rows, ion, __host_charge="__fc.comp", __host_discharge="__fd.comp")
-    return reduce_composition(rows, __framework="__ff.comp")
+    rows = reduce_composition(rows, __framework="__ff.comp", __rc="__fc.comp", __rd="__fd.comp")
+    return rows.withColumns({"reduced_charge": host_key("__rc"), "reduced_discharge": host_key("__rd")}).drop("__rc", "__rd")
 
 
 def reaction_consistency(rows, tolerance=1e-6):
@@ -126,16 +127,18 @@ def validation_rules(rows, settings=SplitSettings()):
 
 
 def _reduced_endpoint_keys(rows):
+    if {"reduced_charge", "reduced_discharge"} <= set(rows.columns):
+        return rows
     rows = parse_formulas(rows, __fc="formula_charge", __fd="formula_discharge")
     rows = reduce_composition(rows, __rc="__fc.comp", __rd="__fd.comp")
-    return rows.withColumns({f"__reduced_{s}": host_key(f"__r{s[0]}") for s in SIDES}).drop("__fc", "__fd", "__rc", "__rd")
+    return rows.withColumns({f"reduced_{s}": host_key(f"__r{s[0]}") for s in SIDES}).drop("__fc", "__fd", "__rc", "__rd")
 
 
 def conflicting_endpoint_ids(rows):
     """Endpoint ids described by several reduced formulas or several symmetries."""
     keyed = _reduced_endpoint_keys(rows)
     stacked = keyed.select(F.inline(F.array(*[F.struct(
-        F.col(f"id_{s}").alias("id"), F.col(f"__reduced_{s}").alias("formula"),
+        F.col(f"id_{s}").alias("id"), F.col(f"reduced_{s}").alias("formula"),
         F.when((F.col(f"spacegroup_number_{s}") != "") & (F.col(f"crystal_system_{s}") != ""),
                F.concat_ws("\t", f"spacegroup_number_{s}", F.lower(f"crystal_system_{s}"))).alias("symmetry")) for s in SIDES])))
     return (stacked.where(F.col("id") != "").groupBy("id")
@@ -147,10 +150,10 @@ def conflicting_endpoint_ids(rows):
 
 def endpoint_conflicts(rows, spread, out="endpoint_conflict"):
     """Flag every row that touches a conflicting endpoint id on either side."""
-    bad = conflicting_endpoint_ids(rows)
+    bad = stored(conflicting_endpoint_ids(rows), "conflicts")
     for s in SIDES:
         side = bad.select(F.col("id").alias(f"id_{s}"), F.col("bad").alias(f"__bad_{s}"), "n")
-        rows = attach(rows, side, [f"id_{s}"], [f"__bad_{s}"], spread)
+        rows = attach_stored(rows, side, [f"id_{s}"], [f"__bad_{s}"], spread)
     hit = F.coalesce("__bad_charge", "__bad_discharge", F.lit(False))
     return rows.withColumn(out, hit).drop("__bad_charge", "__bad_discharge")
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from ionforge.sources import records, runs, snapshot, tables
@@ -45,6 +47,8 @@ def test_manifest_notices_changes(spark, tmp_path):
     before = spark.createDataFrame(files.collect(), files.schema)
     assert before.count() == 2
     victim = before.first()["path"].replace("file:", "")
+    folder, name = os.path.split(victim)
+    os.remove(f"{folder}/.{name}.crc")
     with open(victim, "ab") as handle:
         handle.write(b"x")
     status = [r.status for r in runs.verify_manifest(before, runs.file_manifest(spark, path), path).collect()]
