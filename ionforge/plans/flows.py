@@ -12,9 +12,18 @@ GROUP_KINDS = [("record", "record_key"), ("host", "canonical_host"), ("endpoint"
 FOLDS = 5
 
 
+def _still_there(spark, df):
+    """Whether the files of a stored table were kept (a shared folder may be cleared between queries)."""
+    files = df.inputFiles()
+    if not files:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def once(spark, sf_dir, name, build):
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _BUILT:
+    if key not in _BUILT or not _still_there(spark, _BUILT[key]):
         _BUILT[key] = stored(build(), name)
     return _BUILT[key]
 
