@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ionforge.llm import bpe, exact_dedup, mixing, secrets, simhash, toxicity, url_rules
+from ionforge.llm import ann, bpe, exact_dedup, lattice_lm, mixing, secrets, simhash, substring_dedup, toxicity, url_rules
 from ionforge.llm.common import documents
 
 BPE_FILE = "word_bpe_49k.json"
@@ -31,6 +31,16 @@ def op2_toxicity(spark, sf_dir):
     )
 
 
+def op3_learned_ann(spark, sf_dir):
+    return ann.search(documents(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op4_lattice_lm(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"), ~lattice_lm.held_out("doc_id"))
+    return rows.select("doc_id", lattice_lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_url_filter(spark, sf_dir):
     pages = documents(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_rules.judge(pages, url_rules.rule_table(spark))
@@ -46,6 +56,11 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(documents(spark, sf_dir), keep="largest")
 
 
+def op8_substring_dedup(spark, sf_dir):
+    rows = substring_dedup.deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.resolve(documents(spark, sf_dir))
 
@@ -133,9 +148,12 @@ def all_queries():
     return {
         "op1_bpe": (op1_bpe, None),
         "op2_toxicity": (op2_toxicity, None),
+        "op3_learned_ann": (op3_learned_ann, None),
+        "op4_lattice_lm": (op4_lattice_lm, None),
         "op5_url_filter": (op5_url_filter, op5_sql()),
         "op6_mixing": (op6_mixing, op6_sql()),
         "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+        "op8_substring_dedup": (op8_substring_dedup, None),
         "op9_simhash": (op9_simhash, None),
         "op10_secrets": (op10_secrets, None),
     }

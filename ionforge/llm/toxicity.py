@@ -1,6 +1,7 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A document is the set of its hashed lower-case terms. Its logit is a bias, a
+A document is the set of its hashed lower-case terms: its words, and the first
+``STEMS`` letters of longer words, so inflected forms count together. Its logit is a bias, a
 weight per term and the inner product of the terms' factors for every pair, so
 a pair of terms that is harmless apart can count together.
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from ionforge.llm.common import fold, text_or_empty
 from ionforge.session import stored
 
-TERM = re.compile(r"\w+")
+WORD = re.compile(r"\w+")
+STEMS = (4, 5, 6)
 MEMO_WORDS = 500_000
 
 
@@ -37,11 +39,13 @@ class Settings:
     max_rows: int = 20_000  # labelled rows that the machine is fitted on, at most
     max_terms: int = 1024   # buckets kept, at most
     min_docs: int = 3       # documents a kept bucket occurs in
+    min_gain: float = 6.0   # log-likelihood that a kept bucket gains
     factors: int = 8
-    epochs: int = 40
-    batch: int = 512
-    rate: float = 0.02
-    decay: float = 1e-4
+    steps: int = 3000
+    batch: int = 256
+    rate: float = 0.03
+    decay: float = 1e-5         # of the weights
+    factor_decay: float = 2e-4  # of the factors: what a term says alone is left to its weight
     threshold: float = 0.3
     seed: int = 7
 
@@ -62,14 +66,15 @@ class Machine:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         found = set()
-        for word in set(TERM.findall(text.lower())):
+        for word in set(WORD.findall(text.lower())):
             at = self.memo.get(word)
             if at is None:
-                bucket = hashed(word, self.bits)
-                i = int(np.searchsorted(self.buckets, bucket))
-                at = self.memo[word] = i if i < len(self.buckets) and self.buckets[i] == bucket else -1
-            found.add(at)
-        found.discard(-1)
+                buckets = np.array(hashed(word, self.bits))
+                i = np.searchsorted(self.buckets, buckets)
+                i = i[i < len(self.buckets)]
+                at = self.memo[word] = tuple(i[np.isin(self.buckets[i], buckets)].tolist())
+            if at:
+                found.update(at)
         return sorted(found)
 
     def logits(self, rows):
@@ -81,7 +86,13 @@ class Machine:
 
 
 def hashed(word, bits):
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
+    """Buckets of a word and of its stems."""
+    terms = [word, *(f"{word[:n]}~" for n in STEMS if len(word) > n)]
+    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for t in terms]
+
+
+def buckets_of(text, bits):
+    return sorted({b for w in set(WORD.findall(text.lower())) for b in hashed(w, bits)})
 
 
 def forward(row, flat, n, weight, factor):
@@ -107,7 +118,7 @@ def sample(docs, labels, settings, train):
 
     @F.arrow_udf("array<int>")
     def terms(body: pa.Array) -> pa.Array:
-        return pa.array([sorted({hashed(w, bits) for w in set(TERM.findall(t.lower()))}) for t in body.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([buckets_of(t, bits) for t in body.to_pylist()], pa.list_(pa.int32()))
 
     # at most max_rows small rows are broadcast
     return texts.join(F.broadcast(wanted), "id").select("id", "label", terms("body").alias("terms"))
@@ -125,7 +136,7 @@ def strongest(rows, settings):
     a, total = F.col("a").cast("double"), F.col("all").cast("double")
     gain = part(a, total * pos / max(n, 1)) + part(total - a, total * (n - pos) / max(n, 1))
     gain = gain + part(pos - a, (n - total) * pos / max(n, 1)) + part((n - pos) - (total - a), (n - total) * (n - pos) / max(n, 1))
-    top = counts.where(F.col("all") >= settings.min_docs).select("bucket", gain.alias("gain")).orderBy(F.desc("gain"), "bucket").limit(settings.max_terms)
+    top = counts.where(F.col("all") >= settings.min_docs).select("bucket", gain.alias("gain")).where(F.col("gain") >= settings.min_gain).orderBy(F.desc("gain"), "bucket").limit(settings.max_terms)
     return n, pos, np.array(sorted(r["bucket"] for r in top.collect()), np.int64)
 
 
@@ -152,24 +163,24 @@ def train_machine(rows, label, buckets, settings):
     params = [np.array([np.log(share / (1 - share))]), np.zeros(m), rng.normal(0, 0.01, (m, settings.factors))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     size = np.fromiter(map(len, rows), np.int64, len(rows))
-    step = 0
-    for _ in range(settings.epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), settings.batch):
-            pick = order[a : a + settings.batch]
-            flat = np.concatenate([rows[i] for i in pick]).astype(np.int64)
-            row = np.repeat(np.arange(len(pick)), size[pick])
-            bias, weight, factor = params
-            score, total = forward(row, flat, len(pick), weight, factor)
-            slope = (1 / (1 + np.exp(-(bias[0] + score))) - label[pick]) / len(pick)
-            by_term = np.zeros_like(factor)
-            np.add.at(by_term, flat, slope[row][:, None] * (total[row] - factor[flat]))
-            grads = [np.array([slope.sum()]), np.bincount(flat, slope[row], m) + settings.decay * weight, by_term + settings.decay * factor]
-            step += 1
-            for p, g, u, v in zip(params, grads, first, second):
-                u += 0.1 * (g - u)
-                v += 0.001 * (g * g - v)
-                p -= settings.rate * (u / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    order = np.empty(0, np.int64)
+    for step in range(1, settings.steps + 1):
+        if not len(order):
+            order = rng.permutation(len(rows))
+        pick, order = order[: settings.batch], order[settings.batch :]
+        flat = np.concatenate([rows[i] for i in pick]).astype(np.int64)
+        row = np.repeat(np.arange(len(pick)), size[pick])
+        bias, weight, factor = params
+        score, total = forward(row, flat, len(pick), weight, factor)
+        slope = (1 / (1 + np.exp(-(bias[0] + score))) - label[pick]) / len(pick)
+        by_term = np.zeros_like(factor)
+        np.add.at(by_term, flat, slope[row][:, None] * (total[row] - factor[flat]))
+        grads = [np.array([slope.sum()]), np.bincount(flat, slope[row], m) + settings.decay * weight, by_term + settings.factor_decay * factor]
+        rate = settings.rate * (1 - step / (settings.steps + 1))
+        for p, g, u, v in zip(params, grads, first, second):
+            u += 0.1 * (g - u)
+            v += 0.001 * (g * g - v)
+            p -= rate * (u / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     bias, weight, factor = params
     return Machine(settings.bits, buckets, float(bias[0]), weight, factor)
 
