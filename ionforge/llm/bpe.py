@@ -29,7 +29,7 @@ NO_RANK = np.iinfo(np.int64).max
 #: Characters of text whose words are held as Python objects at a time.
 SLICE_CHARS = 1_000_000
 #: Distinct words kept per worker before the store starts anew.
-STORE_WORDS = 300_000
+STORE_WORDS = 600_000
 # The pre-tokenizer of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -42,6 +42,15 @@ def byte_letters():
     return letters | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def appended(store, used, more):
+    """A store with more values behind the used ones, at twice the room when it is full."""
+    need = used + len(more)
+    if need > len(store):
+        store = np.resize(store, max(need, 2 * len(store)))
+    store[used:need] = more
+    return store
+
+
 class Vocabulary:
     """Merges as sorted integer keys, byte symbols as tables, and the store of encoded words."""
 
@@ -86,6 +95,14 @@ class Vocabulary:
         self.flat = np.array(list(self.added.values()), np.int32)
         self.start = np.arange(len(self.added) + 1, dtype=np.int64)
 
+    def ranks(self, sym, word, at):
+        """Rank of the pair at each position, by binary search over the sorted pair keys."""
+        after = np.minimum(at + 1, len(sym) - 1)
+        pair = sym[at] * self.size + sym[after]
+        found = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        hit = (self.keys[found] == pair) & (word[at] == word[after]) & (after > at)
+        return np.where(hit, self.rank[found], NO_RANK)
+
     def merge(self, words):
         """Ids of byte-string words: one flat array and the number of ids of each word."""
         n = len(words)
@@ -94,21 +111,16 @@ class Vocabulary:
         sym, word = self.inner[raw], np.repeat(np.arange(n), size)
         last = np.cumsum(size) - 1
         sym[last] = self.final[raw[last]]
+        rank = self.ranks(sym, word, np.arange(len(sym)))
         done_sym, done_word = [], []
         while len(sym):
-            best = np.full(n, NO_RANK)
-            rank = np.full(len(sym), NO_RANK)
-            if len(sym) > 1:
-                pair = sym[:-1] * self.size + sym[1:]
-                at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-                hit = (self.keys[at] == pair) & (word[:-1] == word[1:])
-                rank[:-1][hit] = self.rank[at[hit]]
-                np.minimum.at(best, word[:-1][hit], rank[:-1][hit])
-            active = best[word] < NO_RANK
+            fresh = np.concatenate([[True], word[1:] != word[:-1]])
+            best = np.minimum.reduceat(rank, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+            active = best < NO_RANK
             done_sym.append(sym[~active])
             done_word.append(word[~active])
-            sym, word, rank = sym[active], word[active], rank[active]
-            chosen = np.flatnonzero(rank == best[word])
+            sym, word, rank, best = sym[active], word[active], rank[active], best[active]
+            chosen = np.flatnonzero(rank == best)
             if self.all_at_once:  # of overlapping equal pairs, every second from the left
                 fresh = np.ones(len(chosen), bool)
                 fresh[1:] = np.diff(chosen) != 1
@@ -119,7 +131,11 @@ class Vocabulary:
             sym[chosen] = self.made[rank[chosen]]
             keep = np.ones(len(sym), bool)
             keep[chosen + 1] = False
-            sym, word = sym[keep], word[keep]
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            # only the pairs beside a new symbol have changed
+            now = chosen - np.arange(len(chosen))
+            changed = np.concatenate([now, now[now > 0] - 1])
+            rank[changed] = self.ranks(sym, word, changed)
         if not done_sym:
             return np.empty(0, np.int32), np.zeros(n, np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
@@ -155,8 +171,8 @@ class Vocabulary:
             flat, size = self.merge([w.encode("utf-8", "surrogatepass") for w in fresh])
             base = len(self.known)
             self.known.update(zip(fresh, range(base, base + len(fresh))))
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
-            self.flat = np.concatenate([self.flat, flat])
+            self.start = appended(self.start, base + 1, self.start[base] + np.cumsum(size))
+            self.flat = appended(self.flat, self.start[base], flat)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = self.start[at + 1] - self.start[at]
         ends = np.cumsum(size)
