@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ionforge.llm.common import slices
 
@@ -29,7 +29,7 @@ NO_RANK = np.iinfo(np.int64).max
 #: Characters of text whose words are held as Python objects at a time.
 SLICE_CHARS = 1_000_000
 #: Distinct words kept per worker before the store starts anew.
-STORE_WORDS = 600_000
+STORE_WORDS = 400_000
 # The pre-tokenizer of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -189,42 +189,41 @@ def vocabulary(path):
 
 def encode(df, vocab_path, text_col="text", ids_col="token_ids"):
     """Add the token ids of every whole text as ``array<int>``."""
+    rows = df.drop(ids_col)
 
-    @F.arrow_udf("array<int>")
-    def ids_of(text: pa.Array) -> pa.Array:
+    def run(batches):
         v = vocabulary(vocab_path)
-        text = pc.fill_null(text, "")
-        parts, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-        for a, b in slices(pc.utf8_length(text).to_pylist(), SLICE_CHARS):
-            ids, size = v.encode(text.slice(a, b - a).to_pylist())
-            parts.append(ids)
-            sizes.append(size)
-        offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+        for batch in batches:
+            text = pc.fill_null(batch.column(text_col), "")
+            for a, b in slices(pc.utf8_length(text).to_pylist(), SLICE_CHARS):
+                ids, size = v.encode(text.slice(a, b - a).to_pylist())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*part.schema.names, ids_col])
 
-    return df.withColumn(ids_col, ids_of(F.col(text_col)))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def decode(df, vocab_path, ids_col="token_ids", out_col="decoded"):
     """Add the text of every id list: its tokens joined by one space, as the vocabulary names no decoder."""
+    rows = df.drop(out_col)
 
-    @F.arrow_udf("string")
-    def text_of(ids: pa.Array) -> pa.Array:
+    def run(batches):
         v = vocabulary(vocab_path)
-        made = []
-        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_pylist()
-        for a, b in slices(sizes, SLICE_CHARS):
-            part = ids.slice(a, b - a)
-            flat = np.asarray(part.flatten().fill_null(-1), np.int64)
-            size = np.array(sizes[a:b], np.int64)
-            fine = (flat >= 0) & (flat < v.size)
-            if not fine.all():
-                size = np.bincount(np.repeat(np.arange(b - a), size)[fine], minlength=b - a)
-                flat = flat[fine]
-            names = v.names.take(pa.array(flat))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]))
-            joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, names), pa.scalar(" ", pa.large_string()))
-            made.append(joined.cast(pa.string()))
-        return pa.concat_arrays(made) if made else pa.array([], pa.string())
-
-    return df.withColumn(out_col, text_of(F.col(ids_col)))
+        for batch in batches:
+            ids = batch.column(ids_col)
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_pylist()
+            for a, b in slices(sizes, SLICE_CHARS):
+                part = batch.slice(a, b - a)
+                flat = np.asarray(ids.slice(a, b - a).flatten().fill_null(-1), np.int64)
+                size = np.array(sizes[a:b], np.int64)
+                fine = (flat >= 0) & (flat < v.size)
+                if not fine.all():
+                    size = np.bincount(np.repeat(np.arange(b - a), size)[fine], minlength=b - a)
+                    flat = flat[fine]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]))
+                names = pa.LargeListArray.from_arrays(offsets, v.names.take(pa.array(flat)))
+                text = pc.binary_join(names, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, out_col])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out_col, StringType())]))

@@ -12,7 +12,7 @@ BPE_FILE = "word_bpe_49k.json"
 def op1_bpe(spark, sf_dir):
     path = public_tokenizers.path(BPE_FILE)
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    rows = bpe.decode(encoded, path)
+    rows = bpe.decode(encoded.drop("text"), path)
     return rows.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -30,7 +30,7 @@ from ionforge.session import stored
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
 @dataclass
