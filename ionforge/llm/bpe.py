@@ -29,7 +29,7 @@ NO_RANK = np.iinfo(np.int64).max
 #: Characters of text whose words are held as Python objects at a time.
 SLICE_CHARS = 1_000_000
 #: Distinct words kept per worker before the store starts anew.
-STORE_WORDS = 400_000
+STORE_WORDS = 200_000
 # The pre-tokenizer of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 

@@ -30,7 +30,7 @@ from ionforge.session import stored
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 
 
 @dataclass
@@ -61,6 +61,9 @@ class Machine:
     factor: np.ndarray
     memo: dict = field(default_factory=dict, repr=False)
 
+    def __post_init__(self):
+        self.index = {b: i for i, b in enumerate(self.buckets.tolist())}
+
     def terms(self, text):
         """Indexes of the kept buckets that a text's terms fall into."""
         if len(self.memo) > MEMO_WORDS:
@@ -69,10 +72,7 @@ class Machine:
         for word in set(WORD.findall(text.lower())):
             at = self.memo.get(word)
             if at is None:
-                buckets = np.array(hashed(word, self.bits))
-                i = np.searchsorted(self.buckets, buckets)
-                i = i[i < len(self.buckets)]
-                at = self.memo[word] = tuple(i[np.isin(self.buckets[i], buckets)].tolist())
+                at = self.memo[word] = tuple(self.index[b] for b in hashed(word, self.bits) if b in self.index)
             if at:
                 found.update(at)
         return sorted(found)
