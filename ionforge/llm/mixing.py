@@ -14,8 +14,8 @@ Defined results: null source, language or topic is a category of its own; null
 and empty texts have no tokens, take part in no cell's weight and stay; rows
 with the same id share one decision, and a null id counts as the empty text; a
 category with a target but no tokens is left out, one without a target keeps
-its natural share, and both are scaled to one; a table without tokens keeps
-every row. Extra columns stay, working columns are private.
+its natural share, and both are scaled to one; targets that no weights can meet
+leave the state after ``max_rounds``; a table without tokens keeps every row. Extra columns stay, working columns are private.
 """
 
 from functools import reduce
