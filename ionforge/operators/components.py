@@ -8,15 +8,12 @@ geometrically.  Every round is written to the shared folder, so a lost
 executor never replays earlier rounds.
 """
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ionforge.operators.skew import attach_stored
 from ionforge.session import stored
 
 MAX_ROUNDS = 60
-# Once contraction has left this few edges, the rest is settled in one step.
-RESIDUAL_EDGES = 20_000
 
 
 def row_tokens(rows, kinds):
@@ -42,32 +39,11 @@ def _relabel(edges, labels):
     return (edges.where(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
 
 
-def _residual_labels(edges):
-    """Labels of a contracted graph of at most RESIDUAL_EDGES edges."""
-    pairs = edges.toPandas()
-    nodes, codes = np.unique(pairs[["u", "v"]].to_numpy().ravel(), return_inverse=True)
-    u, v = codes.reshape(-1, 2).T
-    label = np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        low = np.minimum(label[u], label[v])
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    rows = [(str(x), str(nodes[j]), 1) for x, j in zip(nodes, label)]
-    return edges.sparkSession.createDataFrame(rows, "x string, label string, n bigint")
-
-
 def token_components(edges):
     """Representative of every token that has at least one edge: columns ``token``, ``rep``."""
     edges = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     rounds = []
-    while left := edges.count():
-        if left <= RESIDUAL_EDGES:
-            rounds.append(_residual_labels(edges))
-            break
+    while not edges.isEmpty():
         if len(rounds) == MAX_ROUNDS:
             raise RuntimeError("component contraction did not converge")
         labels = stored(_round_labels(edges, len(rounds)), "labels")
@@ -92,7 +68,7 @@ def connected_groups(rows, uid, kinds, out="group_id", prefix="g_"):
     """
     rows = rows.withColumn("__tokens", row_tokens(rows, kinds))
     pairs = rows.select(F.col("__tokens")[0].alias("u"), F.explode(F.slice("__tokens", 2, len(kinds))).alias("v")) \
-        if len(kinds) > 1 else None
+        if len(kinds) > 1 else rows.select(F.lit("").alias("u"), F.lit("").alias("v")).limit(0)
     reps = token_components(pairs)
     rows = rows.withColumn("__token", F.get("__tokens", F.lit(0))).drop("__tokens")
     per_token = (rows.where(F.col("__token").isNotNull()).groupBy("__token")

@@ -54,9 +54,9 @@ def normalize_reaction(rows):
     added, errors = {}, []
     for s in SIDES:
         group, system = F.col(f"spacegroup_number_{s}").cast("string"), F.col(f"crystal_system_{s}")
-        added[f"sg_{s}"] = integral_number(group).cast("int")
+        added[f"sg_{s}"] = integral_number(group).try_cast("int")
         added[f"system_{s}"] = F.lower(stripped(system))
-        errors += [(integral_number(group).isNull(), f"spacegroup_number_{s} is not an integer"),
+        errors += [(integral_number(group).try_cast("int").isNull(), f"spacegroup_number_{s} is not an integer"),
                    (~F.coalesce(F.length(system) > 0, F.lit(False)), f"crystal_system_{s} is empty"),
                    (~F.coalesce(F.length(f"formula_{s}") > 0, F.lit(False)), f"formula_{s} is empty")]
     for c in OPTIONAL_REACTION_FIELDS:

@@ -1,9 +1,11 @@
 """Voltage profiles: states to intervals, contiguity rules, plotting geometry.
 
-Positions are dense per profile, so a neighbour is found by an equi-join on
-(profile, position): a profile of any length spreads over all tasks.
+Neighbours are the next rows of a profile in the order of positions, which may
+have gaps. A profile has at most MAX_INTERVALS intervals by contract, so a window
+over one is short.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ionforge.operators.skew import attach
@@ -15,10 +17,13 @@ MIN_INTERVALS, MAX_INTERVALS = 2, 50
 
 
 def states_to_intervals(states, profile="profile_id", position="pos", fields=("formula", "spacegroup_number")):
-    """Consecutive state pairs: interval i runs from state i to state i + 1."""
-    nxt = states.select(profile, (F.col(position) - 1).alias(position), *[F.col(f).alias(f"{f}_discharge") for f in fields])
+    """Consecutive state pairs: one interval from every state that has a next one."""
+    order = Window.partitionBy(profile).orderBy(position)
     keep = [c for c in states.columns if c not in fields]
-    return (states.select(*keep, *[F.col(f).alias(f"{f}_charge") for f in fields]).join(nxt, [profile, position]))
+    pairs = states.select(*keep, *[F.col(f).alias(f"{f}_charge") for f in fields],
+                          *[F.lead(f).over(order).alias(f"{f}_discharge") for f in fields],
+                          F.lead(F.lit(True), 1, False).over(order).alias("__next"))
+    return pairs.where("__next").drop("__next")
 
 
 def _close(a, b, rel, absolute):
@@ -31,9 +36,9 @@ def profile_contiguity(intervals, profile="profile_id", position="pos", same=("w
     first = intervals.groupBy(profile).agg(
         F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*same), position).alias("__first"))
     rows = attach(intervals, first.withColumn("__n", F.col("n")), [profile], ["__first", "__n"], [position])
-    before = intervals.select(profile, (F.col(position) + 1).alias(position), F.col("end").alias("__end"),
-                              F.struct(*[F.col(f"{c}_discharge").alias(c) for c in symmetry]).alias("__sym"), F.lit(True).alias("__has"))
-    rows = rows.join(before, [profile, position], "left")
+    order = Window.partitionBy(profile).orderBy(position)
+    shared = F.struct(*[F.col(f"{c}_discharge").alias(c) for c in symmetry])
+    rows = rows.withColumns({"__end": F.lag("end").over(order), "__sym": F.lag(shared).over(order), "__has": F.lag(F.lit(True)).over(order)})
     has = F.coalesce("__has", F.lit(False))
     own = F.struct(*[F.col(f"{c}_charge").alias(c) for c in symmetry])
     rules = [(f"different_{c}", ~F.col(c).eqNullSafe(F.col(f"__first.{c}"))) for c in same]
@@ -53,7 +58,7 @@ def profile_scales(steps, profile="profile_id", start="start", end="end", value=
 
 def _x(v):
     f = FRAME
-    return f["left"] + (v - F.col("x_min")) / (F.col("x_max") - F.col("x_min")) * (f["width"] - f["left"] - f["right"])
+    return f["left"] + F.try_divide(v - F.col("x_min"), F.col("x_max") - F.col("x_min")) * (f["width"] - f["left"] - f["right"])
 
 
 def _y(v):
@@ -62,7 +67,7 @@ def _y(v):
 
 
 def profile_steps(steps, profile="profile_id", position="pos", start="start", end="end", value="value"):
-    """Scaled horizontal segment of every interval."""
+    """Scaled horizontal segment of every interval; a profile of zero width has null x positions."""
     scales = profile_scales(steps, profile, start, end, value)
     rows = attach(steps, scales, [profile], ["x_min", "x_max", "y_min", "y_max"], [position])
     return rows.select(profile, position, _x(F.col(start)).alias("x1"), _x(F.col(end)).alias("x2"), _y(F.col(value)).alias("y"))

@@ -98,7 +98,7 @@ def validation_rules(rows, settings=SplitSettings()):
     symmetry = []
     for s in SIDES:
         text, system = F.col(f"spacegroup_number_{s}"), F.lower(stripped(F.col(f"crystal_system_{s}")))
-        number = F.when(is_digits(text) & (F.length(text) < 10), text.try_cast("int"))
+        number = F.when(is_digits(text), text.try_cast("int"))
         blank = ~F.coalesce((text != "") & (system != ""), F.lit(False))
         in_range = F.coalesce(number.between(1, 230), F.lit(False))
         symmetry += [
@@ -170,7 +170,7 @@ def repeated_reaction_review(rows, label, content_hash, spread, tolerance=1e-8,
     named = lambda df, ok: df.withColumns({k: F.when(ok, v) for k, v in key_values.items()})
     source = rows if base is None else base
     copies = (named(source, usable).where(F.col("__ion").isNotNull()).groupBy(*keys, content_hash)
-              .agg(F.first(label).alias("__label")))
+              .agg(F.min(label).alias("__label")))
     stats = (copies.groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("n"),
                   (F.bool_or(F.col("__label").isNull())

@@ -27,11 +27,13 @@ def local_session(cores="8", name="ionforge", **conf):
 def shared_dir(spark):
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without the setting (a local test) gets a temporary folder.
+    Only a local session without the setting (a test) gets a temporary folder.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ionforge-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -61,9 +63,3 @@ def balanced(df):
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
-def cut_lineage(df):
-    """Reliable checkpoint: survives executor loss, bounds the plan of iterative jobs."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()

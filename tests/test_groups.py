@@ -31,9 +31,14 @@ def random_rows(n, seed):
 KINDS = [("a", "a"), ("b", "b"), ("b", "c")]
 
 
-@pytest.mark.parametrize("residual,floor", [(20_000, 100_000), (0, 100_000), (0, 3)])
-def test_components_match_brute_force(spark, monkeypatch, residual, floor):
-    monkeypatch.setattr(components, "RESIDUAL_EDGES", residual)
+def test_components_of_a_single_kind(spark):
+    df = spark.createDataFrame([("u1", "x"), ("u2", "x"), ("u3", ""), ("u4", "y")], "uid string, a string")
+    got = {r.uid: r.group_id for r in components.connected_groups(df, "uid", [("a", "a")]).collect()}
+    assert got == {"u1": "g_u1", "u2": "g_u1", "u3": "g_u3", "u4": "g_u4"}
+
+
+@pytest.mark.parametrize("floor", [100_000, 3])
+def test_components_match_brute_force(spark, monkeypatch, floor):
     monkeypatch.setattr(skew, "HOT_FLOOR", floor)
     rows = random_rows(150, 3) + [(f"h{i:03d}", "hub", f"leaf{i}", "") for i in range(60)] + [(f"c{i:03d}", f"p{i}", f"q{i}", f"q{i + 1}") for i in range(40)]
     df = spark.createDataFrame(rows, "uid string, a string, b string, c string").repartition(5)
