@@ -54,8 +54,8 @@ def rule_table(spark, address_rules=ADDRESS_RULES, pattern_rules=PATTERN_RULES):
     """One row per rule: its text, kind, expression over the URL, required tokens, verdict and length."""
     rows = []
     for host, path, verdict in address_rules:
-        # the address is tested on "host path", cut at the first ://, so a later :// can't match
-        expression = rf"^([^ ]*\.)?\Q{host}\E \Q{path}\E"
+        # the address is tested on "host#path": neither part can hold the mark between them
+        expression = rf"^([^#]*\.)?\Q{host}\E#\Q{path}\E"
         rows.append((host + path, "address", expression, f"{host} {path}".lower(), verdict, len(host + path)))
     for expression, tokens in pattern_rules:
         rows.append((expression, "pattern", expression, tokens, "block", len(expression)))
@@ -77,7 +77,7 @@ def indexed(rules, tokens):
 def matches(urls, rules):
     """For distinct URLs (column ``url``): the best rule of each kind that matches, for URLs with any."""
     tokens = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
-    address = F.concat_ws(" ", host_of(F.col("url")), path_of(F.col("url")))
+    address = F.concat_ws("#", host_of(F.col("url")), path_of(F.col("url")))
     fetched = tokens.join(indexed(rules, tokens), "token")
     hits = fetched.withColumn("subject", F.when(F.col("kind") == "address", address).otherwise(F.col("url"))).where(F.expr("subject rlike expression"))
     longest = F.struct("size", "rule", "verdict")
