@@ -137,16 +137,16 @@ class _RidgeWeights:
 class _TubeWeights:
     """Newton step of the squared epsilon-insensitive loss: only rows outside the tube count."""
 
-    def __init__(self, offsets, current, epsilon):
-        self.offsets, self.current, self.epsilon = offsets, current, epsilon
+    def __init__(self, offsets, current, epsilons):
+        self.offsets, self.current, self.epsilons = offsets, current, epsilons
 
     def __call__(self, scope, key, phi, y):
         t = y - self.offsets[scope]
         if (scope, key) not in self.current:
             return np.ones(len(y)), t
         r = t - phi @ self.current[scope, key]
-        outside = np.abs(r) > self.epsilon
-        return outside.astype(float), t - np.sign(r) * self.epsilon
+        epsilon = self.epsilons[key]
+        return (np.abs(r) > epsilon).astype(float), t - np.sign(r) * epsilon
 
 
 def _offsets(rows, folds):
@@ -175,8 +175,8 @@ def rbf_eps_regression(rows, maps, grid, folds, scopes, steps=4):
     settings = {c["id"]: c["parameters"] for c in grid}
     current = {}
     for _ in range(steps):
-        epsilon = grid[0]["parameters"]["epsilon"]
-        sums = _normal_equations(rows, maps, specs, _TubeWeights(offsets, current, epsilon), scopes)
+        epsilons = {cid: p["epsilon"] for cid, p in settings.items()}
+        sums = _normal_equations(rows, maps, specs, _TubeWeights(offsets, current, epsilons), scopes)
         current = {k: np.linalg.solve(m[:, :-1] + np.eye(maps.size) / (2.0 * settings[k[1]]["C"]), m[:, -1])
                    for k, m in sums.items()}
     return [(c["id"], s, c["representation"], c["parameters"]["gamma"], offsets[s], current[s, c["id"]])

@@ -1,9 +1,10 @@
 """Key lookups that stay balanced when one key holds a large share of the rows.
 
-The ``HOT_KEYS`` most frequent keys above ``HOT_FLOOR`` rows are *hot*: their
-values are broadcast (a fixed bound on rows), and rows with a hot or null key
-carry a salt in the shuffle join, so they spread over all tasks.  Any other
-key owns at most ``1 / HOT_KEYS`` of the rows and joins as usual.
+A key is *hot* when it owns more than a quarter of an average shuffle task's
+rows, so by counting there are fewer than four hot keys per shuffle partition.
+Their values are broadcast, and rows with a hot or null key carry a salt in the
+shuffle join, so they spread over all tasks.  Every other key joins as usual.
+The rule is the same at every size, and no key is left out.
 """
 
 from functools import reduce
@@ -12,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ionforge.session import stored
 
-HOT_KEYS = 1000
-HOT_FLOOR = 100_000
+HOT_PER_TASK = 4
 SALTS = 4096
 
 
@@ -22,20 +22,23 @@ def _all(conditions):
 
 
 def hot_rows(stats, n="n"):
-    """The most frequent keys of a per-key table: at most HOT_KEYS rows."""
-    return stats.where(F.col(n) > HOT_FLOOR).orderBy(F.desc(n)).limit(HOT_KEYS)
+    """Keys above the hot share of all counted rows: fewer than HOT_PER_TASK per shuffle partition.
+
+    ``stats`` should be stored: it is read for the total and for the keys.
+    """
+    tasks = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = stats.agg(F.sum(n)).first()[0] or 0
+    return stats.where(F.col(n) > total / (HOT_PER_TASK * tasks))
 
 
 def _balanced_left_join(df, table, hot, keys, values, spread):
-    """Left join on ``keys``; ``hot`` is the bounded table of hot keys, or None when there are none."""
+    """Left join on ``keys``; ``hot`` is the bounded table of hot keys."""
     columns = [F.col(c) for c in df.columns]
     packed = F.struct(*[F.col(v) for v in values])
     salted = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    out = df
-    if hot is not None:
-        hot_side = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], packed.alias("__hot")))
-        out = out.join(hot_side, _all([F.col(k) == F.col(f"__h_{k}") for k in keys]), "left")
-        salted = salted | F.col("__hot").isNotNull()
+    hot_side = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], packed.alias("__hot")))
+    out = df.join(hot_side, _all([F.col(k) == F.col(f"__h_{k}") for k in keys]), "left")
+    salted = salted | F.col("__hot").isNotNull()
     salt = F.when(salted, 1 + F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     out = out.withColumn("__salt", F.coalesce(salt, F.lit(0)).cast("bigint"))
     # The table's salt is always 0 but not a literal, so it stays a hash key of the join.
@@ -43,7 +46,7 @@ def _balanced_left_join(df, table, hot, keys, values, spread):
                         F.pmod(F.xxhash64(*keys), F.lit(1)).cast("bigint").alias("__cs"), packed.alias("__cold"))
     on = [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__salt") == F.col("__cs")]
     out = out.join(cold, _all(on), "left")
-    found = F.col("__cold") if hot is None else F.coalesce(F.col("__hot"), F.col("__cold"))
+    found = F.coalesce(F.col("__hot"), F.col("__cold"))
     return out.select(*columns, *[found[v].alias(v) for v in values])
 
 
@@ -57,9 +60,8 @@ def attach(df, stats, keys, values, spread, n="n"):
 
 
 def attach_stored(df, stats, keys, values, spread, n="n"):
-    """``attach`` for stored statistics: one cheap look tells whether any key is hot."""
-    skewed = not stats.where(F.col(n) > HOT_FLOOR).isEmpty()
-    return _balanced_left_join(df, stats, hot_rows(stats, n) if skewed else None, keys, values, spread)
+    """``attach`` for statistics that are stored already."""
+    return _balanced_left_join(df, stats, hot_rows(stats, n), keys, values, spread)
 
 
 def lookup(df, dim, keys, values, spread, counted=None):
@@ -67,7 +69,6 @@ def lookup(df, dim, keys, values, spread, counted=None):
 
     ``counted`` may name a cheaper plan of the same rows to count keys from.
     """
-    freq = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    top = stored(hot_rows(freq).select(*keys), "hot")
-    hot = None if top.isEmpty() else dim.join(F.broadcast(top), keys, "left_semi")
+    freq = stored((df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "frequency")
+    hot = dim.join(F.broadcast(hot_rows(freq).select(*keys)), keys, "left_semi")
     return _balanced_left_join(df, dim, hot, keys, values, spread)

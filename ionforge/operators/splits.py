@@ -139,15 +139,12 @@ def overlap_counts(rows, side, kinds=OVERLAP_KINDS):
 def fold_overlap_counts(rows, fold, folds, kinds=OVERLAP_KINDS):
     """Per fold and kind: tokens the fold shares with any other fold, in one pass.
 
-    A token is summarised by a bitmap of the folds it occurs in.
+    A token is summarised by the set of folds it occurs in: at most ``folds`` small numbers.
     """
-    if folds > 62:
-        raise ValueError("fold bitmaps hold at most 62 folds")
-    bits = F.bit_or(F.expr(f"shiftleft(1L, cast({fold} as int))"))
-    spans = (_tokens(rows.where(F.col(fold).isNotNull()), [fold], kinds).groupBy("kind", "token")
-             .agg(bits.alias("bits")).where(F.bit_count("bits") > 1))
-    folds_of = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.getbit(F.col("bits"), f) == 1)
-    return spans.select("kind", F.explode(folds_of).alias("fold")).groupBy("fold", "kind").agg(F.count(F.lit(1)).alias("shared"))
+    fold_set = F.collect_set(F.col(fold).cast("int"))
+    spans = (_tokens(rows.where(F.col(fold).between(0, folds - 1)), [fold], kinds).groupBy("kind", "token")
+             .agg(fold_set.alias("folds")).where(F.size("folds") > 1))
+    return spans.select("kind", F.explode("folds").alias("fold")).groupBy("fold", "kind").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def cv_leakage_audit(rows, fold, population, settings=SplitSettings(), kinds=OVERLAP_KINDS):

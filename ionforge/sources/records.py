@@ -31,11 +31,11 @@ def read_jsonl_torn_tail(spark, path, schema):
     lines = _numbered_lines(spark, path).withColumns({
         "broken": value.isNull(), "is_object": F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))})
     last = lines.groupBy("file").agg(F.max("pos").alias("last"))
-    lines = lines.join(last, "file")
-    torn = F.col("broken") & (F.col("pos") == F.col("last"))
-    fault = (F.when(F.col("broken") & ~torn, F.raise_error(F.lit("damaged line before the end of the file")))
+    # only broken lines, at most one a file in a good input, look up the file's last position
+    early = lines.where("broken").join(last, "file").where(F.col("pos") != F.col("last")).agg(F.count(F.lit(1))).scalar()
+    fault = (F.when(early > 0, F.raise_error(F.lit("damaged line before the end of the file")))
              .when(~F.col("broken") & ~F.col("is_object"), F.raise_error(F.lit("line is not an object"))))
     checked = lines.withColumn("fault", fault).where(F.coalesce("fault", F.lit("")) == "")
-    records = checked.where(~torn).select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-    issues = checked.where(torn).select(F.lit("discarded_unfinished_line").alias("kind"), "file")
+    records = checked.where("not broken").select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    issues = checked.where("broken").select(F.lit("discarded_unfinished_line").alias("kind"), "file")
     return records, issues

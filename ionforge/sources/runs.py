@@ -15,11 +15,17 @@ def file_manifest(spark, path):
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _plain(path):
+    """A path with one spelling of the local scheme; any step upwards makes it fall outside every root."""
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.when(~F.concat(plain, F.lit("/")).contains("/../"), F.regexp_replace(plain, r"(?<!:)/(\./|/)+", "/")).otherwise("")
+
+
 def verify_manifest(expected, actual, root):
     """Status per path: ok, changed, missing, unexpected or outside_root."""
     both = expected.select("path", F.col("sha256").alias("want")).join(
         actual.select("path", F.col("sha256").alias("have")), "path", "full_outer")
-    inside = F.regexp_replace("path", "^file:/+", "/").startswith(root.replace("file:", ""))
+    inside = _plain(F.col("path")).startswith(_plain(F.lit(root.rstrip("/") + "/")))
     status = (F.when(F.col("want").isNotNull() & ~inside, "outside_root").when(F.col("have").isNull(), "missing")
               .when(F.col("want").isNull(), "unexpected").when(F.col("want") != F.col("have"), "changed").otherwise("ok"))
     return both.select("path", status.alias("status"))

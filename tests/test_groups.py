@@ -37,9 +37,9 @@ def test_components_of_a_single_kind(spark):
     assert got == {"u1": "g_u1", "u2": "g_u1", "u3": "g_u3", "u4": "g_u4"}
 
 
-@pytest.mark.parametrize("floor", [100_000, 3])
-def test_components_match_brute_force(spark, monkeypatch, floor):
-    monkeypatch.setattr(skew, "HOT_FLOOR", floor)
+@pytest.mark.parametrize("per_task", [4, 1000])
+def test_components_match_brute_force(spark, monkeypatch, per_task):
+    monkeypatch.setattr(skew, "HOT_PER_TASK", per_task)
     rows = random_rows(150, 3) + [(f"h{i:03d}", "hub", f"leaf{i}", "") for i in range(60)] + [(f"c{i:03d}", f"p{i}", f"q{i}", f"q{i + 1}") for i in range(40)]
     df = spark.createDataFrame(rows, "uid string, a string, b string, c string").repartition(5)
     got = {r.uid: r.group_id for r in components.connected_groups(df, "uid", KINDS).collect()}
@@ -100,7 +100,7 @@ def test_settings_are_checked():
 
 
 def test_attach_is_whole_with_hot_and_null_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_FLOOR", 10)
+    monkeypatch.setattr(skew, "HOT_PER_TASK", 100)
     rows = [(i, "hot" if i % 3 else (f"k{i % 7}" if i % 2 else None)) for i in range(300)]
     df = spark.createDataFrame(rows, "i int, k string")
     stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("m")).where("k IS NOT NULL")
