@@ -3,19 +3,23 @@
 A batch of distinct words lies in one flat symbol array. Each round looks all
 adjacent pairs up by binary search over the sorted pair keys, takes the lowest
 rank of every word and merges it everywhere at once; words without a mergeable
-pair leave the array. Words met before come from a bounded per-worker store.
+pair leave the array. Texts are cut at white space, which no word crosses;
+chunks met before come from a bounded per-worker store.
 
 Defined results: null text counts as empty and has no tokens; texts of any
 length are cut into words, never into prefixes; equal texts have equal ids;
 strings of added tokens inside a text become that token; null ids decode to
 the empty text and ids outside the vocabulary are skipped. An existing column
-of the output's name is replaced, all other columns stay. Letters that only the
-newest Unicode version assigns follow the tables of the ``regex`` package.
+of the output's name is replaced, all other columns stay. Code points that
+Python's Unicode tables don't assign yet have the class and the lower case that
+the tokenizers library gives them.
 """
 
 import json
+import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,45 @@ from ionforge.llm.common import slices
 NO_RANK = np.iinfo(np.int64).max
 #: Characters of text whose words are held as Python objects at a time.
 SLICE_CHARS = 1_000_000
-#: Distinct words kept per worker before the store starts anew.
-STORE_WORDS = 200_000
+#: Distinct chunks kept per worker before the store starts anew.
+STORE_CHUNKS = 200_000
 # The pre-tokenizer of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+CHUNKS = regex.compile(r"\S+")
+#: Separators to ``str.split`` but not to the pre-tokenizer.
+CONTROLS = re.compile("[\x1c-\x1f]")
+#: A character of each class that is part of no contraction: letter, number, white space, other.
+SHAPES = {1: "a", 4: "1", 2: " ", 3: "!"}
+
+
+#: Characters met that Python's Unicode tables assign.
+ASSIGNED = set(map(chr, range(128)))
+
+
+def unassigned(text):
+    """The characters of a text that Python's Unicode tables don't assign."""
+    fresh = set(text) - ASSIGNED
+    if not fresh:
+        return fresh
+    free = {c for c in fresh if unicodedata.category(c) == "Cn"}
+    ASSIGNED.update(fresh - free)
+    return free
+
+
+class Store(dict):
+    """Chunks by number; a chunk met for the first time gets the next number and is listed as fresh."""
+
+    def __init__(self, known):
+        super().__init__(zip(known, range(len(known))))
+        self.fresh = []
+
+    def __missing__(self, chunk):
+        self[chunk] = number = len(self)
+        self.fresh.append(chunk)
+        return number
+
 
 def byte_letters():
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -59,6 +97,7 @@ class Vocabulary:
             spec = json.load(f)
         model = spec["model"]
         ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        self.path = path
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*ids.values(), *self.added.values()]) + 1
         names = [None] * self.size
@@ -91,10 +130,17 @@ class Vocabulary:
         return bool((np.maximum(last_made[left], last_made[right]) < rank).all())
 
     def reset(self):
-        self.known = {token: i for i, token in enumerate(self.added)}
+        # white space keeps an added token's key apart from any chunk
+        self.known = Store([f" {token}" for token in self.added])
         self.flat = np.array(list(self.added.values()), np.int32)
         self.start = np.arange(len(self.added) + 1, dtype=np.int64)
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ranks(self, sym, word, at):
         """Rank of the pair at each position, by binary search over the sorted pair keys."""
         after = np.minimum(at + 1, len(sym) - 1)
@@ -142,46 +188,79 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.bincount(word, minlength=n)
 
-    def words(self, text):
-        """Words of a text in order; an added token is a word of its own."""
+    def shape(self, letter):
+        """A character that stands for the class of an unassigned one, as the library cuts it."""
+        return SHAPES[len(self.library.pre_tokenizer.pre_tokenize_str(f"a{letter * 2}a"))]
+
+    def chunks(self, text):
+        """Chunks of a text in order; an added token is a chunk of its own."""
         if self.split_added is None or not any(t in text for t in self.added):
             return self._plain(text)
         found = []
         for i, part in enumerate(self.split_added.split(text)):
-            found.extend([part] if i % 2 else self._plain(part))
+            found.extend([f" {part}"] if i % 2 else self._plain(part))
         return found
 
     def _plain(self, text):
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # letter by letter: no special form at the end of a word
-            text = text.replace("Σ", "σ")
-        return WORDS.findall(text.lower())
+        if not text.isascii():
+            if unassigned(text):
+                text = self.library.normalizer.normalize_str(text)
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:  # letter by letter: no special form at the end of a word
+                text = text.replace("Σ", "σ")
+        text = text.lower()
+        return CHUNKS.findall(text) if CONTROLS.search(text) else text.split()
+
+    def words(self, chunk):
+        """Words of a chunk in lower case."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk.isascii() and not CONTROLS.search(chunk):
+            return ASCII_WORDS.findall(chunk)
+        free = unassigned(chunk)
+        shape = chunk.translate({ord(c): self.shape(c) for c in free}) if free else chunk
+        return [chunk[m.start() : m.end()] for m in WORDS.finditer(shape)]
+
+    def learn(self, fresh):
+        """Encode chunks met for the first time and append them to the store."""
+        found = list(map(self.words, fresh))
+        counts = list(map(len, found))
+        words = list(chain.from_iterable(found))
+        number = Store([])
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        flat, size = self.merge([w.encode("utf-8", "surrogatepass") for w in number.fresh])
+        ids, size = gathered(flat, np.concatenate([[0], np.cumsum(size)]), at)
+        size = np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
+        used = len(self.known) - len(fresh)
+        self.flat = appended(self.flat, self.start[used], ids)
+        self.start = appended(self.start, used + 1, self.start[used] + np.cumsum(size))
 
     def encode(self, texts):
         """Ids of all texts in one flat array, and the number of ids of each text."""
-        words, counts = [], []
+        chunks, counts = [], []
         for text in texts:
-            found = self.words(text)
-            words.extend(found)
+            found = self.chunks(text)
+            chunks.extend(found)
             counts.append(len(found))
-        if len(self.known) > STORE_WORDS:
+        if len(self.known) > STORE_CHUNKS:
             self.reset()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        if fresh:
-            flat, size = self.merge([w.encode("utf-8", "surrogatepass") for w in fresh])
-            base = len(self.known)
-            self.known.update(zip(fresh, range(base, base + len(fresh))))
-            self.start = appended(self.start, base + 1, self.start[base] + np.cumsum(size))
-            self.flat = appended(self.flat, self.start[base], flat)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.start[at + 1] - self.start[at]
-        ends = np.cumsum(size)
-        offset = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-        ids = self.flat[np.repeat(self.start[at], size) + offset]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        self.known.fresh = []
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        if self.known.fresh:
+            self.learn(self.known.fresh)
+        ids, size = gathered(self.flat, self.start, at)
+        bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return ids, np.diff(bounds)
 
 
+def gathered(flat, start, at):
+    """The runs of a flat array that the numbers name, one after another, and their sizes."""
+    size = start[at + 1] - start[at]
+    ends = np.cumsum(size)
+    offset = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    return flat[np.repeat(start[at], size) + offset], size
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path):
     return Vocabulary(path)

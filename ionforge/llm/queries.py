@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ionforge.llm import ann, bpe, exact_dedup, lattice_lm, mixing, secrets, simhash, substring_dedup, toxicity, url_rules
+from ionforge.llm import ann, bpe, exact_dedup, lattice_lm, mixing, packing, secrets, simhash, substring_dedup, toxicity, url_rules
 from ionforge.llm.common import documents
 
 BPE_FILE = "word_bpe_49k.json"
@@ -81,6 +81,11 @@ def op10_secrets(spark, sf_dir):
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op13_best_fit_packing(spark, sf_dir):
+    packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path(BPE_FILE), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 OP5_SQL = """
 WITH parts AS (
   SELECT page_id, coalesce(url, '') AS url,
@@ -156,4 +161,5 @@ def all_queries():
         "op8_substring_dedup": (op8_substring_dedup, None),
         "op9_simhash": (op9_simhash, None),
         "op10_secrets": (op10_secrets, None),
+        "op13_best_fit_packing": (op13_best_fit_packing, None),
     }
