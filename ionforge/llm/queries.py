@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ionforge.llm import ann, bpe, exact_dedup, lattice_lm, mixing, packing, prefix_trie, secrets, simhash, substring_dedup, toxicity, url_rules
+from ionforge.llm import ann, bpe, exact_dedup, lattice_lm, mixing, packing, prefix_trie, secrets, simhash, substring_dedup, toxicity, url_rules, whitening
 from ionforge.llm.common import documents
 
 BPE_FILE = "word_bpe_49k.json"
@@ -81,6 +81,11 @@ def op10_secrets(spark, sf_dir):
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op11_whitening(spark, sf_dir):
+    rows = whitening.whiten(documents(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_prefix_trie(spark, sf_dir):
     found = prefix_trie.sequences(documents(spark, sf_dir, "conversations"))
     return prefix_trie.trie(prefix_trie.regrown(found)).drop("turn_id")
@@ -166,6 +171,7 @@ def all_queries():
         "op8_substring_dedup": (op8_substring_dedup, None),
         "op9_simhash": (op9_simhash, None),
         "op10_secrets": (op10_secrets, None),
+        "op11_whitening": (op11_whitening, None),
         "op12_prefix_trie": (op12_prefix_trie, None),
         "op13_best_fit_packing": (op13_best_fit_packing, None),
     }
