@@ -64,7 +64,8 @@ def secular(d, z):
         gaps = from_near - at[:, None]
         part = square / gaps
         value = 1 + part.sum(1)
-        if (np.abs(value) <= 4 * EPS * (1 + np.abs(part).sum(1))).all():
+        done = np.abs(value) <= 16 * EPS * (1 + np.abs(part).sum(1))
+        if done.all():
             break
         low, high = np.where(value < 0, at, low), np.where(value > 0, at, high)
         slopes = part / gaps
@@ -78,7 +79,7 @@ def secular(d, z):
             root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
             step = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
             now = at + step
-        now = np.where((now > low) & (now < high), now, (low + high) / 2)
+        now = np.where(done, at, np.where((now > low) & (now < high), now, (low + high) / 2))
         if (now == at).all():
             break
         at = now
