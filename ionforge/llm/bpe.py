@@ -32,8 +32,8 @@ from ionforge.llm.common import slices
 NO_RANK = np.iinfo(np.int64).max
 #: Characters of text whose words are held as Python objects at a time.
 SLICE_CHARS = 1_000_000
-#: Distinct chunks kept per worker before the store starts anew.
-STORE_CHUNKS = 200_000
+#: Distinct chunks kept per worker before the store forgets those that occurred once.
+STORE_CHUNKS = 250_000
 # The pre-tokenizer of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -134,6 +134,20 @@ class Vocabulary:
         self.known = Store([f" {token}" for token in self.added])
         self.flat = np.array(list(self.added.values()), np.int32)
         self.start = np.arange(len(self.added) + 1, dtype=np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self):
+        """Keep the chunks that occurred more than once, at most half as many as fit, and halve their counts."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > STORE_CHUNKS // 2:
+            kept = np.sort(kept[np.argsort(self.uses[kept], kind="stable")[-(STORE_CHUNKS // 2) :]])
+        own = np.arange(len(self.added))
+        kept = np.concatenate([own, kept[kept >= len(own)]])
+        names = list(self.known)
+        self.known = Store([names[i] for i in kept.tolist()])
+        self.flat, size = gathered(self.flat, self.start, kept)
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.uses = self.uses[kept] // 2
 
     @cached_property
     def library(self):
@@ -213,8 +227,6 @@ class Vocabulary:
 
     def words(self, chunk):
         """Words of a chunk in lower case."""
-        if chunk.isalpha():
-            return [chunk]
         if chunk.isascii() and not CONTROLS.search(chunk):
             return ASCII_WORDS.findall(chunk)
         free = unassigned(chunk)
@@ -223,7 +235,7 @@ class Vocabulary:
 
     def learn(self, fresh):
         """Encode chunks met for the first time and append them to the store."""
-        found = list(map(self.words, fresh))
+        found = [(c,) if c.isalpha() else self.words(c) for c in fresh]
         counts = list(map(len, found))
         words = list(chain.from_iterable(found))
         number = Store([])
@@ -243,11 +255,14 @@ class Vocabulary:
             chunks.extend(found)
             counts.append(len(found))
         if len(self.known) > STORE_CHUNKS:
-            self.reset()
+            self.forget()
         self.known.fresh = []
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         if self.known.fresh:
             self.learn(self.known.fresh)
+        uses = np.bincount(at, minlength=len(self.known))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         ids, size = gathered(self.flat, self.start, at)
         bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return ids, np.diff(bounds)
