@@ -28,6 +28,16 @@ def ascii_lower(text: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(text, ""))
 
 
+def lowered(text):
+    """A-Z in lower case and nothing else, inside the JVM; null becomes the empty text."""
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rowed(df, **working):
+    """Each row packed into the struct ``row`` beside working columns, which then can't clash with the table's own."""
+    return df.select(F.struct("*").alias("row"), *[column.alias(name) for name, column in working.items()])
+
+
 def slices(sizes, most):
     """Cut rows of the given sizes into consecutive ranges of about ``most`` units, one row at least."""
     start = total = 0

@@ -22,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ionforge.llm.common import rowed
 from ionforge.session import stored
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -116,10 +117,9 @@ def decide(docs, given=None, temper=TEMPER, seed=SEED):
 
 def sample(docs, given=None, temper=TEMPER, seed=SEED):
     """The sampled documents with all their columns."""
-    table = rates(docs, given, temper).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__p"))
-    table = stored(table, "mix-rates")
+    table = stored(rates(docs, given, temper).select(*DIMENSIONS, "probability"), "mix-rates")
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text)}
-    fits = [F.when(v.isNull(), "n").otherwise(F.concat(F.lit("v"), v.cast("string"))) == F.col(f"__{k}") for k, v in keys.items()]
-    joined = docs.join(table, reduce(lambda a, b: a & b, fits), "left")
-    return joined.where(uniform(F.col("doc_id"), seed) < F.coalesce("__p", F.lit(1.0))).select(*[docs[c] for c in docs.columns])
+    tagged = {k: F.when(v.isNull(), "n").otherwise(F.concat(F.lit("v"), v.cast("string"))) for k, v in keys.items()}
+    joined = rowed(docs, chance=uniform(F.col("doc_id"), seed), **tagged).join(table, list(DIMENSIONS), "left")
+    return joined.where(F.col("chance") < F.coalesce("probability", F.lit(1.0))).select("row.*")

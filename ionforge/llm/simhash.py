@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from ionforge.llm.common import ascii_lower
+from ionforge.llm.common import ascii_lower, rowed
 from ionforge.session import stored
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -208,7 +208,7 @@ def resolve(docs, distance=DISTANCE, size=SHINGLE):
 def deduplicate(docs, distance=DISTANCE, size=SHINGLE):
     """The documents that stay, one of each component (that of the smallest id), with all their columns."""
     prints = stored(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "simhash")
-    found = classes(prints, distance).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__id"))
-    tagged = docs.withColumn("__print", fingerprint(F.col("text"), size))
-    stay = tagged.join(found, (F.col("__print") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return stay.dropDuplicates(["__root"]).select(*docs.columns)
+    found = classes(prints, distance)
+    rows = rowed(docs, id=F.col("doc_id"), fp=fingerprint(F.col("text"), size))
+    stay = rows.join(found, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    return stay.dropDuplicates(["root"]).select("row.*")

@@ -25,12 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ionforge.llm.common import fold, text_or_empty
+from ionforge.llm.common import fold, slices, text_or_empty
 from ionforge.session import stored
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
-MEMO_WORDS = 100_000
+MEMO_WORDS = 50_000
+#: Characters of text that are held as Python objects at a time.
+SLICE_CHARS = 1_000_000
 
 
 @dataclass
@@ -191,15 +193,23 @@ def score(df, machine, text_col="text", score_col="toxicity"):
 
     @F.arrow_udf("double")
     def probability(text: pa.Array) -> pa.Array:
-        m = Machine(*parts, memo=MEMOS.setdefault(hash((parts[0], parts[1].tobytes())), {}))
-        logits = m.logits([m.terms(t) for t in pc.fill_null(text, "").to_pylist()])
-        return pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))
+        machine = at_work(parts)
+        text, logits = pc.fill_null(text, ""), []
+        for a, b in slices(pc.utf8_length(text).to_pylist(), SLICE_CHARS):
+            logits.append(machine.logits([machine.terms(t) for t in text.slice(a, b - a).to_pylist()]))
+        return pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([np.empty(0), *logits]), -500, 500))))
 
     return df.withColumn(score_col, probability(F.col(text_col)))
 
 
-#: Per worker: where a machine's words fall, by its buckets.
-MEMOS = {}
+#: The one machine that a worker keeps, with what it has looked up.
+AT_WORK = []
+
+
+def at_work(parts):
+    if not AT_WORK or any(not np.array_equal(a, b) for a, b in zip(AT_WORK[0], parts)):
+        AT_WORK[:] = [parts, Machine(*parts)]
+    return AT_WORK[1]
 
 
 def held_out(column):

@@ -13,6 +13,8 @@ of the way, as working columns are private.
 
 from pyspark.sql import functions as F
 
+from ionforge.llm.common import rowed
+
 # The address rules of the contract (host, path, verdict).
 ADDRESS_RULES = (
     ("net", "/", "block"),
@@ -90,14 +92,13 @@ def matches(urls, rules):
 def judge(pages, rules, url_col="url", default="allow"):
     """Add ``host``, ``path``, ``rule``, ``pattern`` and ``verdict``: the address rule's, else the pattern rule's, else the default."""
     urls = pages.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct()
-    found = matches(urls, rules).select(F.col("url").alias("__url"), F.col("address").alias("__address"), F.col("pattern").alias("__pattern"))
-    joined = pages.join(found, F.col(url_col) == F.col("__url"), "left")
+    joined = rowed(pages, url=F.col(url_col)).join(matches(urls, rules), "url", "left")
     made = {
-        "host": host_of(F.col(url_col)),
-        "path": path_of(F.col(url_col)),
-        "rule": F.col("__address.rule"),
-        "pattern": F.col("__pattern.rule"),
-        "verdict": F.coalesce("__address.verdict", "__pattern.verdict", F.lit(default)),
+        "host": host_of(F.col("url")),
+        "path": path_of(F.col("url")),
+        "rule": F.col("address.rule"),
+        "pattern": F.col("pattern.rule"),
+        "verdict": F.coalesce("address.verdict", "pattern.verdict", F.lit(default)),
     }
-    # all at once: an earlier column of the same name must not feed a later one
-    return joined.withColumns(made).drop("__url", "__address", "__pattern")
+    own = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in made]
+    return joined.select(*own, *[column.alias(name) for name, column in made.items()])
