@@ -6,25 +6,34 @@ those sums, whose size does not depend on the row count, reach the driver.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ionforge.operators.preprocess import ALL, _dense, _other_scopes, tree_sum
+from ionforge.operators.preprocess import _other_scopes
+from ionforge.operators.sparse import column, dense
+from ionforge.operators.trees import TreeSettings
 
 # The predeclared candidate settings per family.
 CANDIDATE_SETTINGS = (
     ("svr", ({"C": 10.0, "gamma": 0.1, "epsilon": 0.1}, {"C": 10.0, "gamma": "scale", "epsilon": 0.1},
              {"C": 100.0, "gamma": "scale", "epsilon": 0.1})),
     ("krr", ({"alpha": 0.01, "gamma": 0.1}, {"alpha": 0.01, "gamma": "scale"}, {"alpha": 1.0, "gamma": "scale"})),
-    ("dnn", ({"learning_rate": 0.001, "l2": 0.0001},)),
 )
 REPRESENTATIONS = ("pca", "scaled")
+#: Settings of the third family, boosted trees: they read the features as they are.
+TREE_SETTINGS = ({"trees": 10, "depth": 4}, {"trees": 10, "depth": 3})
 
 
 def candidates():
     """The search grid as plain records with stable ids."""
-    return [{"id": f"{family}_{rep}_{i}", "family": family, "representation": rep, "parameters": dict(p)}
-            for rep in REPRESENTATIONS for family, grid in CANDIDATE_SETTINGS for i, p in enumerate(grid)]
+    kernels = [{"id": f"{family}_{rep}_{i}", "family": family, "representation": rep, "parameters": dict(p)}
+               for rep in REPRESENTATIONS for family, grid in CANDIDATE_SETTINGS for i, p in enumerate(grid)]
+    trees = [{"id": f"tree_raw_{i}", "family": "tree", "representation": "raw", "parameters": dict(p)} for i, p in enumerate(TREE_SETTINGS)]
+    return kernels + trees
+
+
+def tree_settings(candidate):
+    return TreeSettings(**candidate["parameters"])
 
 
 def candidate_grid(folds_in_use):
@@ -89,140 +98,212 @@ class RandomFeatures:
         # Standardized columns have variance 1; projected ones have the kept eigenvalues.
         return 1.0 / (self.pca[scope][1] if representation == "pca" else len(self.scaler[scope][0]))
 
-    def map(self, z, gamma):
-        rng = np.random.default_rng([self.seed, z.shape[1]])
-        w = rng.standard_normal((z.shape[1], self.size))
-        b = rng.uniform(0, 2 * np.pi, self.size)
-        return np.sqrt(2.0 / self.size) * np.cos(np.sqrt(2.0 * gamma) * (z @ w) + b)
-
-    def features(self, x, scope, representation, gamma):
-        return self.map(self.represent(x, scope, representation), self.resolve(gamma, scope, representation))
-
+    def project(self, z):
+        """Random directions of a represented block; they don't depend on gamma."""
+        return z @ np.random.default_rng([self.seed, z.shape[1]]).standard_normal((z.shape[1], self.size))
 
-def _normal_equations(rows, maps, specs, weigh, scopes):
-    """Sum over training rows of weighted [phi phi', phi t] for every (scope, spec)."""
-    shared = rows.sparkSession.sparkContext.broadcast((maps, specs, weigh, scopes))
-    size = maps.size
+    def wave(self, projected, columns, gamma):
+        b = np.random.default_rng([self.seed, columns, 1]).uniform(0, 2 * np.pi, self.size)
+        return np.sqrt(2.0 / self.size) * np.cos(np.sqrt(2.0 * gamma) * projected + b)
 
-    def partial(batches):
-        maps, specs, weigh, scopes = shared.value
+    def features(self, x, scope, representation, gamma):
+        z = self.represent(x, scope, representation)
+        return self.wave(self.project(z), z.shape[1], self.resolve(gamma, scope, representation))
+
+    def many(self, x, scope, specs):
+        """Features of a block for several (representation, gamma), projected once per representation."""
+        out = {}
+        for rep in {r for r, _ in specs}:
+            z = self.represent(x, scope, rep)
+            projected = self.project(z)
+            for r, gamma in specs:
+                if r == rep:
+                    out[r, gamma] = self.wave(projected, z.shape[1], self.resolve(gamma, scope, rep))
+        return out
+
+
+def array_sums(rows, columns, add, width):
+    """Sums of named flat arrays over all rows: each task adds up its own, and Spark the tasks' entries.
+
+    ``add`` yields (name, array) for a dense block and the other columns of a
+    batch. The number of names times entries doesn't depend on the rows.
+    """
+    def run(batches):
         sums = {}
-        for pdf in batches:
-            x, y, fold = _dense(pdf, maps.width), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
-            for scope in scopes:
-                train = fold != scope
-                for key, (rep, gamma) in specs.items():
-                    phi = maps.features(x[train], scope, rep, gamma)
-                    a, t = weigh(scope, key, phi, y[train])
-                    block = np.hstack([phi.T @ (phi * a[:, None]), phi.T @ (a * t)[:, None]])
-                    sums[scope, key] = sums.get((scope, key), 0) + block
-        for (scope, key), m in sums.items():
-            yield pd.DataFrame({"scope": scope, "spec": key, "row": np.arange(size, dtype="int32"), "vec": list(m)})
-
-    partials = rows.select("fold", "y", "idx", "val").mapInPandas(partial, "scope int, spec string, row int, vec array<double>")
-    sums = tree_sum(partials, ["scope", "spec", "row"]).toPandas()
-    return {(int(s), k): np.stack(g.sort_values("row")["vec"].to_numpy()) for (s, k), g in sums.groupby(["scope", "spec"])}
+        for batch in batches:
+            for name, array in add(dense(batch, width), {c: column(batch, c) for c in columns}):
+                sums[name] = sums[name] + array if name in sums else array
+        for name, array in sums.items():
+            flat = np.ravel(array)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(flat)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["name", "at", "value"])
 
+    parts = rows.select(*columns, "idx", "val").mapInArrow(run, "name string, at int, value double")
+    table = parts.groupBy("name", "at").agg(F.sum("value").alias("value")).toPandas()
+    return {name: part.sort_values("at")["value"].to_numpy() for name, part in table.groupby("name")}
 
-class _RidgeWeights:
-    """Every training row counts once with the centred target."""
 
-    def __init__(self, offsets):
-        self.offsets = offsets
-
-    def __call__(self, scope, key, phi, y):
-        return np.ones(len(y)), y - self.offsets[scope]
-
-
-class _TubeWeights:
-    """Newton step of the squared epsilon-insensitive loss: only rows outside the tube count."""
+def _offsets(rows, folds):
+    return {int(r["scope"]): float(r["offset"]) for r in target_transform(rows, folds).collect()}
 
-    def __init__(self, offsets, current, epsilons):
-        self.offsets, self.current, self.epsilons = offsets, current, epsilons
 
-    def __call__(self, scope, key, phi, y):
-        t = y - self.offsets[scope]
-        if (scope, key) not in self.current:
-            return np.ones(len(y)), t
-        r = t - phi @ self.current[scope, key]
-        epsilon = self.epsilons[key]
-        return (np.abs(r) > epsilon).astype(float), t - np.sign(r) * epsilon
+def _triangle(size):
+    return np.triu_indices(size)
 
 
-def _offsets(rows, folds):
-    return {int(r["scope"]): float(r["offset"]) for r in target_transform(rows, folds).collect()}
+def _square(packed, size):
+    """A symmetric matrix from its upper triangle."""
+    out = np.zeros((size, size))
+    out[_triangle(size)] = packed
+    return out + np.triu(out, 1).T
 
 
 def rbf_ridge(rows, maps, grid, folds, scopes):
     """Fit every ridge candidate for every scope from one distributed pass."""
-    offsets = _offsets(rows, folds)
-    specs = {f"{c['representation']}|{c['parameters']['gamma']}": (c["representation"], c["parameters"]["gamma"]) for c in grid}
-    sums = _normal_equations(rows, maps, specs, _RidgeWeights(offsets), scopes)
+    offsets, size = _offsets(rows, folds), maps.size
+    specs = {(c["representation"], c["parameters"]["gamma"]) for c in grid}
+    shared = rows.sparkSession.sparkContext.broadcast(maps)
+
+    def add(x, cols):
+        upper = _triangle(size)
+        for scope in scopes:
+            train = (cols["fold"] != scope) & ~np.isnan(cols["y"].astype(float))
+            t = cols["y"][train] - offsets[scope]
+            for spec, phi in shared.value.many(x[train], scope, specs).items():
+                yield f"{scope}|{spec}", np.concatenate([(phi.T @ phi)[upper], phi.T @ t])
+
+    sums = array_sums(rows, ("fold", "y"), add, maps.width)
     fitted = []
     for c in grid:
-        key = f"{c['representation']}|{c['parameters']['gamma']}"
+        spec, alpha = (c["representation"], c["parameters"]["gamma"]), c["parameters"]["alpha"]
         for scope in scopes:
-            m = sums[scope, key]
-            w = np.linalg.solve(m[:, :-1] + c["parameters"]["alpha"] * np.eye(maps.size), m[:, -1])
-            fitted.append((c["id"], scope, c["representation"], c["parameters"]["gamma"], offsets[scope], w))
+            flat = sums[f"{scope}|{spec}"]
+            w = np.linalg.solve(_square(flat[:-size], size) + alpha * np.eye(size), flat[-size:])
+            fitted.append((c["id"], scope, *spec, offsets[scope], w))
     return fitted
 
 
-def rbf_eps_regression(rows, maps, grid, folds, scopes, steps=4):
-    """Epsilon-insensitive candidates by a fixed number of Newton passes over a stored table."""
-    offsets = _offsets(rows, folds)
-    specs = {c["id"]: (c["representation"], c["parameters"]["gamma"]) for c in grid}
-    settings = {c["id"]: c["parameters"] for c in grid}
-    current = {}
-    for _ in range(steps):
-        epsilons = {cid: p["epsilon"] for cid, p in settings.items()}
-        sums = _normal_equations(rows, maps, specs, _TubeWeights(offsets, current, epsilons), scopes)
-        current = {k: np.linalg.solve(m[:, :-1] + np.eye(maps.size) / (2.0 * settings[k[1]]["C"]), m[:, -1])
-                   for k, m in sums.items()}
-    return [(c["id"], s, c["representation"], c["parameters"]["gamma"], offsets[s], current[s, c["id"]])
-            for c in grid for s in scopes]
+class NotConverged(RuntimeError):
+    """A fit hasn't settled within the passes it was given."""
 
 
-def predict_kernel(rows, maps, fitted, keys, scope="scope"):
-    """Score each row with every candidate of its scope, one Arrow batch at a time."""
-    by_scope = {}
-    for cid, s, rep, gamma, offset, w in fitted:
-        by_scope.setdefault(s, []).append((cid, rep, gamma, offset, w))
-    shared = rows.sparkSession.sparkContext.broadcast((maps, by_scope))
+#: Steps along a Newton direction whose losses one pass computes.
+STEPS = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.015625, 0.00390625)
+
+
+class _Tube:
+    """State of one candidate and scope: weights, direction, and what is known at the weights."""
+
+    def __init__(self, size, c):
+        self.w, self.d, self.c = np.zeros(size), np.zeros(size), c
+        self.objective = self.active = None
+        self.done, self.passes = False, 0
+
+    def value(self, step, loss):
+        w = self.w + step * self.d
+        return 0.5 * w @ w + self.c * loss
+
+
+def rbf_eps_regression(rows, maps, grid, folds, scopes, tolerance=1e-9, most_passes=60):
+    """Fit every epsilon-insensitive candidate for every scope until its weights settle.
+
+    Minimises ``|w|^2 / 2 + C * sum(max(0, |residual| - epsilon)^2)`` by Newton
+    steps. A pass adds up the loss along each open direction and the equations
+    of the rows outside the tube at the full step; a step that doesn't lower
+    the objective enough is shortened. Settled fits leave the passes; one
+    that hasn't settled after ``most_passes`` is an error.
+    """
+    offsets, size = _offsets(rows, folds), maps.size
+    settings = {c["id"]: (c["representation"], c["parameters"]["gamma"], c["parameters"]["epsilon"]) for c in grid}
+    states = {(c["id"], s): _Tube(size, c["parameters"]["C"]) for c in grid for s in scopes}
+    shared = rows.sparkSession.sparkContext.broadcast(maps)
+    upper = _triangle(size)
+    for _ in range(most_passes):
+        going = {k: (v.w, v.d) for k, v in states.items() if not v.done}
+        if not going:
+            break
+
+        def add(x, cols, going=going):
+            for scope in sorted({s for _, s in going}):
+                train = (cols["fold"] != scope) & ~np.isnan(cols["y"].astype(float))
+                t = cols["y"][train] - offsets[scope]
+                now = [c for c, s in going if s == scope]
+                maps_now = shared.value.many(x[train], scope, {settings[c][:2] for c in now})
+                for cid in now:
+                    phi, epsilon = maps_now[settings[cid][:2]], settings[cid][2]
+                    w, d = going[cid, scope]
+                    at, along = t - phi @ w, phi @ d
+                    losses = [np.sum(np.maximum(np.abs(at - step * along) - epsilon, 0) ** 2) for step in STEPS]
+                    r = at - along
+                    out = np.abs(r) > epsilon
+                    own = phi[out]
+                    yield f"{cid}|{scope}", np.concatenate([(own.T @ own)[upper], own.T @ (t[out] - np.sign(r[out]) * epsilon), losses, [out.sum()]])
+
+        sums = array_sums(rows, ("fold", "y"), add, maps.width)
+        for cid, scope in going:
+            state, flat = states[cid, scope], sums[f"{cid}|{scope}"]
+            gram, target = _square(flat[: len(upper[0])], size), flat[len(upper[0]) : len(upper[0]) + size]
+            losses, state.passes = flat[-len(STEPS) - 1 : -1], state.passes + 1
+            values = [state.value(step, loss) for step, loss in zip(STEPS, losses)]
+            if state.objective is not None and values[0] > state.objective * (1 + 1e-12):
+                best = int(np.argmin(values))
+                # the equations at a shorter step are those of the next pass
+                state.w, state.d, state.objective = state.w + STEPS[best] * state.d, np.zeros(size), min(values[best], state.objective)
+                continue
+            state.w, state.objective, state.active = state.w + state.d, values[0], int(flat[-1])
+            new = np.linalg.solve(gram + np.eye(size) / (2.0 * state.c), target)
+            state.d = new - state.w
+            state.done = np.abs(state.d).max() <= tolerance * max(1.0, np.abs(state.w).max())
+    late = sorted(k for k, v in states.items() if not v.done)
+    if late:
+        raise NotConverged(f"not settled after {most_passes} passes: {late}")
+    return [(c["id"], s, *settings[c["id"]][:2], offsets[s], states[c["id"], s].w) for c in grid for s in scopes]
+
+
+class KernelModel:
+    """One fitted kernel candidate of one scope."""
+
+    def __init__(self, maps, scope, representation, gamma, offset, weights):
+        self.maps, self.scope, self.spec, self.offset, self.weights = maps, scope, (representation, gamma), offset, weights
+
+    def predict(self, x):
+        return self.maps.features(x, self.scope, *self.spec) @ self.weights + self.offset
+
+
+def kernel_models(maps, fitted):
+    """Fitted candidates as models by scope: {scope: [(candidate, model)]}."""
+    out = {}
+    for cid, scope, *rest in fitted:
+        out.setdefault(scope, []).append((cid, KernelModel(maps, scope, *rest)))
+    return out
+
+
+def predict_models(rows, models, keys, width, scope="scope"):
+    """Score each row with every candidate of its scope, one Arrow batch at a time; a non-finite result is an error."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    kept = rows.select(*keys, scope, "idx", "val")
+    names = [*keys, scope]
 
     def score(batches):
-        maps, by_scope = shared.value
-        for pdf in batches:
-            x, scopes = _dense(pdf, maps.width), pdf[scope].to_numpy()
+        models = shared.value
+        for batch in batches:
+            x, scopes = dense(batch, width), column(batch, scope)
             for s in np.unique(scopes):
                 at = np.flatnonzero(scopes == s)
-                for cid, rep, gamma, offset, w in by_scope[int(s)]:
-                    p = maps.features(x[at], int(s), rep, gamma) @ w + offset
+                own = [batch.column(n).take(pa.array(at)) for n in names]
+                for cid, model in models.get(s if isinstance(s, str) else int(s), ()):
+                    p = model.predict(x[at])
                     if not np.isfinite(p).all():
                         raise ValueError("model returned non-finite predictions")
-                    yield pdf.iloc[at][list(keys) + [scope]].assign(candidate=cid, prediction=p)
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([cid] * len(at), pa.string()), pa.array(p)], [*names, "candidate", "prediction"])
 
-    kept = rows.select(*keys, scope, "idx", "val")
     schema = kept.drop("idx", "val").schema.add("candidate", "string").add("prediction", "double")
-    return kept.mapInPandas(score, schema)
-
+    return kept.mapInArrow(score, schema)
 
-def dense_vector(rows, width, out="features"):
-    """Sparse arrays to an ML vector with built-in functions only."""
-    from pyspark.ml.functions import array_to_vector
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    filled = F.aggregate(F.arrays_zip("idx", "val"), F.array().cast("array<double>"),
-                         lambda acc, e: F.concat(acc, zeros(e["idx"] - F.size(acc)), F.array(e["val"])))
-    return rows.withColumn("__d", filled).withColumn(
-        out, array_to_vector(F.concat("__d", zeros(F.lit(width) - F.size("__d"))))).drop("__d")
 
-
-def tree_regression(train, width, iterations=10, depth=4, seed=42):
-    """Gradient-boosted trees on the assembled vector; returns the fitted model."""
-    from pyspark.ml.regression import GBTRegressor
-    learner = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="prediction", maxIter=iterations,
-                           maxDepth=depth, seed=seed)
-    return learner.fit(dense_vector(train, width).select("features", "y"))
+def predict_kernel(rows, maps, fitted, keys, scope="scope"):
+    """Score each row with every kernel candidate of its scope."""
+    return predict_models(rows, kernel_models(maps, fitted), keys, maps.width, scope)
 
 
 def linear_predict(rows, models, keys):

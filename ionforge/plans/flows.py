@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ionforge.constants import SYSTEMS
 from ionforge.operators import components, features, intervals, preprocess, splits, validate
 from ionforge.plans import fixtures
-from ionforge.session import balanced, stored
+from ionforge.session import balanced, exists, stored
 
 _BUILT = {}
 GROUP_KINDS = [("record", "record_key"), ("host", "canonical_host"), ("endpoint", "id_charge"), ("endpoint", "id_discharge")]
@@ -15,10 +15,7 @@ FOLDS = 5
 def _still_there(spark, df):
     """Whether the files of a stored table were kept (a shared folder may be cleared between queries)."""
     files = df.inputFiles()
-    if not files:
-        return False
-    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return bool(files) and exists(spark, files[0])
 
 
 def once(spark, sf_dir, name, build):

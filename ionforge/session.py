@@ -45,6 +45,12 @@ def scratch_path(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/ionforge-{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark, path):
+    """Whether a file or folder is there, in whatever store the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def stored(df, name):
     """Write once to the shared folder and read back.
 
