@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ionforge.constants import SYSTEMS
 from ionforge.operators import components, features, intervals, preprocess, splits, validate
 from ionforge.plans import fixtures
-from ionforge.session import balanced, exists, stored
+from ionforge.operators.search import Search
+from ionforge.session import balanced, exists, scratch_path, stored
 
 _BUILT = {}
 GROUP_KINDS = [("record", "record_key"), ("host", "canonical_host"), ("endpoint", "id_charge"), ("endpoint", "id_discharge")]
@@ -97,6 +98,50 @@ def vectors(spark, sf_dir):
     return once(spark, sf_dir, "vectors", build)
 
 
+POPULATIONS = {"mixed_ions": None, "li_only": ("Li",)}
+
+
+def modelled(spark, sf_dir):
+    """Feature rows with roles and a target that the features explain, but for a part of the label."""
+    def build():
+        value = lambda i: F.coalesce(F.try_element_at(F.map_from_arrays("idx", "val"), F.lit(i)), F.lit(0.0))
+        # the ion's period, the loading step and the oxygen fraction
+        target = 1 + 0.4 * value(259) + 0.3 * value(265) * value(265) + 3 * value(7) * value(265) + 0.05 * F.col("y")
+        customer = F.substring("record_key", 4, 20).cast("bigint")
+        role = F.when(F.col("ion").isin("Na", "K"), F.concat(F.lit("held_out_"), "ion")).when(customer % 10 == 0, "holdout").otherwise("development")
+        return vectors(spark, sf_dir).withColumn("record_key", F.col("group_id")).withColumns({"role": role, "y": target}).drop("record_key")
+    return once(spark, sf_dir, "modelled", build)
+
+
+def development(spark, sf_dir):
+    return once(spark, sf_dir, "development", lambda: modelled(spark, sf_dir).where("role = 'development'"))
+
+
+def stored_without(rows, row_uid):
+    return stored(rows.where(F.col("row_uid") != row_uid), "without")
+
+
+_SEARCHES = {}
+
+
+def search(spark, sf_dir):
+    """The session's model search over the development rows; its results lie in the shared folder."""
+    rows = development(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SEARCHES or _SEARCHES[key].rows is not rows:
+        _SEARCHES[key] = Search(rows, POPULATIONS, FOLDS, features.WIDTH, scratch_path(spark, "search"))
+    return _SEARCHES[key]
+
+
+def final(spark, sf_dir):
+    """Subgroup metrics of the chosen models on held-out rows."""
+    def build():
+        found = search(spark, sf_dir)
+        found.run()
+        return found.evaluate(modelled(spark, sf_dir).where("role <> 'development'"))[2]
+    return once(spark, sf_dir, "final", build)
+
+
 def states(spark, sf_dir):
     return once(spark, sf_dir, "states", lambda: preprocess.fit_states(vectors(spark, sf_dir), features.WIDTH, FOLDS))
 
@@ -169,6 +214,9 @@ def evaluated(spark, sf_dir):
 EVALUATED = """ev AS (SELECT concat('u', k) AS row_uid, concat('g', c) AS group_id, ion,
   CASE WHEN ion IN ('Na','K') THEN concat('held_out_', ion) WHEN c % 10 = 0 THEN 'holdout' ELSE 'development' END AS role,
   CAST(mv AS DOUBLE) / 1000 AS y, 3 + CAST(m AS DOUBLE) / 4 AS prediction, CAST(c % 5 AS INT) AS fold FROM rx)"""
+# The same rows with the target of ``modelled``, from the integers.
+MODELLED = EVALUATED.replace("CAST(mv AS DOUBLE) / 1000 AS y", "1 + 0.4 * CASE ion WHEN 'Li' THEN 2 WHEN 'Na' THEN 3 WHEN 'Mg' THEN 3 WHEN 'Al' THEN 3 WHEN 'Y' THEN 5 ELSE 4 END "
+                             "+ 0.3 * (CAST(m AS DOUBLE) / gcd(a, b)) ** 2 + 3 * CAST(4 * b AS DOUBLE) / (a + 5 * b) * m / gcd(a, b) + 0.05 * CAST(mv AS DOUBLE) / 1000 AS y")
 # Metrics rounded after a nudge, so exact decimal ties fall the same way in both engines.
 METRICS = ("count(*) AS n, round(avg(abs(prediction - y)) + 1e-10, 6) AS mae, round(sqrt(avg((prediction - y) ** 2)) + 1e-10, 6) AS rmse, "
            "round(CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1 - sum((prediction - y) ** 2) / (var_pop(y) * count(*)) END + 1e-10, 6) AS r2, "

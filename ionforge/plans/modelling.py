@@ -3,15 +3,12 @@
 from pyspark.sql import functions as F
 
 from ionforge.functions.keys import set_digest
-from ionforge.operators import evaluate, features, models, preprocess
+from ionforge.operators import evaluate, models
 from ionforge.operators.features import WIDTH
 from ionforge.plans import flows
 from ionforge.plans.fixtures import LONG, WITH, rx, table
 from ionforge.session import stored
 
-SCOPES = [0, 1, 2, 3, 4]
-
-
 def candidate_grid(spark, sf):
     """Tasks of the search for every (population, fold) present in the split."""
     rows = flows.split(spark, sf)
@@ -35,40 +32,70 @@ def linear_ridge(spark, sf):
     return out.select(F.col("scope").cast("bigint").alias("scope"), F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
-def _development(spark, sf):
-    return flows.once(spark, sf, "dev", lambda: flows.vectors(spark, sf).where("ion NOT IN ('Na', 'K')"))
-
-
-def _maps(spark, sf, size=64):
-    dev = _development(spark, sf)
-    states = flows.once(spark, sf, "dev-states", lambda: preprocess.fit_states(dev, WIDTH, flows.FOLDS))
-    pca = flows.once(spark, sf, "dev-pca", lambda: preprocess.fit_pca(dev, states, WIDTH, 8))
-    return dev, models.RandomFeatures(states, pca, None, size, 7, WIDTH)
+def _medians(rows):
+    """Error of the out-of-fold median of every population."""
+    found = None
+    for population, ions in flows.POPULATIONS.items():
+        own = rows if ions is None else rows.where(F.col("ion").isin(*ions))
+        part = evaluate.regression_metrics(evaluate.median_oof(own, flows.FOLDS)).select(F.lit(population).alias("population"), F.col("mae").alias("median_mae"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
-def _oof_metrics(dev, maps, fitted):
-    scored = models.predict_kernel(dev.withColumn("scope", F.col("fold")), maps, fitted, ["row_uid", "fold", "y"])
-    return evaluate.cv_summary(scored).select("candidate", "folds", "n", F.round("mean_mae", 6).alias("mean_mae"), F.round("rmse", 6).alias("rmse"))
+def _family(spark, sf, family):
+    """Cross-validation of all candidates of a family in both populations, run where it isn't finished."""
+    found = flows.search(spark, sf)
+    found.run([family])
+    scores = stored(found.summary([family]), "family-scores")
+    best = scores.groupBy("population").agg(F.min("mae").alias("least")).join(_medians(flows.development(spark, sf)), "population")
+    best = best.select("population", (F.col("least") < 0.8 * F.col("median_mae")).alias("family_better"))
+    return scores.join(best, "population").select("population", "candidate", "folds", "n", "missing_rows", "repeated_rows", "family_better")
 
 
 def rbf_ridge(spark, sf):
-    dev, maps = _maps(spark, sf)
-    grid = [c for c in models.candidates() if c["family"] == "krr"]
-    return _oof_metrics(dev, maps, models.rbf_ridge(dev, maps, grid, flows.FOLDS, SCOPES))
+    return _family(spark, sf, "krr")
 
 
 def rbf_eps_regression(spark, sf):
-    dev, maps = _maps(spark, sf)
-    grid = [c for c in models.candidates() if c["family"] == "svr" and c["representation"] == "scaled"]
-    return _oof_metrics(dev, maps, models.rbf_eps_regression(dev, maps, grid, flows.FOLDS, SCOPES, steps=3))
+    return _family(spark, sf, "svr")
 
 
 def tree_regression(spark, sf):
-    """Boosted trees trained without fold 0 and scored on it."""
-    dev = _development(spark, sf)
-    fitted = models.tree_regression(dev.where("fold <> 0"), WIDTH, iterations=3, depth=3)
-    scored = fitted.transform(models.dense_vector(dev.where("fold = 0"), WIDTH)).select("y", "prediction")
-    return evaluate.regression_metrics(scored)
+    return _family(spark, sf, "tree")
+
+
+def model_search(spark, sf):
+    """The whole search: what was run, covered and chosen, by population and family."""
+    found = flows.search(spark, sf)
+    found.run()
+    summary = stored(found.summary().join(_medians(flows.development(spark, sf)), "population"), "search-summary")
+    chosen = found.select(summary)
+    rows = summary.join(chosen.select("population", "family", F.col("candidate").alias("chosen"), F.col("mean_mae").alias("least"), "selected"), ["population", "family"])
+    per_family = rows.groupBy("population", "family").agg(
+        F.count("*").alias("candidates"), F.sum("folds").alias("tasks"), F.sum("n").alias("predictions"),
+        (F.sum("missing_rows") + F.sum("repeated_rows")).alias("uncovered"), F.bool_or(F.col("mae") < 0.8 * F.col("median_mae")).alias("better"),
+        F.bool_and(F.col("mean_mae") >= F.col("least")).alias("least_chosen"), F.count_if(F.col("selected")).alias("selected"))
+    total = per_family.groupBy("population").agg(F.count_if(F.col("selected") > 0).alias("families_selected"))
+    return per_family.drop("selected").join(total, "population")
+
+
+def search_resume(spark, sf):
+    """Tasks that are open after the search, and those that open when a row of fold 0 is missing from its rows."""
+    found = flows.search(spark, sf)
+    found.run()
+    rows = flows.development(spark, sf)
+    first = rows.where("fold = 0 AND ion = 'Li'").agg(F.min("row_uid")).first()[0]
+    changed = found.over(flows.stored_without(rows, first))
+    one = lambda s, name: s.pending().groupBy("population").agg(F.count("*").alias(name))
+    tasks = found.tasks().groupBy("population").agg(F.count("*").alias("tasks"))
+    filled = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return tasks.join(one(found, "open"), "population", "left").join(one(changed, "reopened"), "population", "left").select("population", "tasks", filled("open"), filled("reopened"))
+
+
+def model_evaluation(spark, sf):
+    """Rows and metrics of the final models on held-out rows, by subgroup; the choice is frozen before."""
+    metrics = flows.final(spark, sf)
+    return metrics.select("population", "family", "role", "subgroup", "n", (F.col("n") == 0).alias("empty"), (F.coalesce("rmse", F.lit(0.0)) >= F.coalesce("mae", F.lit(0.0))).alias("sound"))
 
 
 def predict(spark, sf):
@@ -173,17 +200,37 @@ _SUB = f"""{_EV}, held AS (SELECT *, group_id IN (SELECT group_id FROM ev WHERE
     UNION ALL SELECT role, 'new_group', CASE WHEN NOT known THEN y END, CASE WHEN NOT known THEN prediction END FROM held WHERE role LIKE 'held_out_%')"""
 _METRICS = flows.METRICS.replace("count(*)", "count(y)")
 
+# Development rows by population; integers only, as counts need no target.
+_DEV = f"""{WITH}, own AS (SELECT ion, c % 5 AS fold FROM rx WHERE ion NOT IN ('Na', 'K') AND c % 10 <> 0),
+  dev AS (SELECT 'mixed_ions' AS population, fold FROM own UNION ALL SELECT 'li_only', fold FROM own WHERE ion = 'Li')"""
+
+
+def _family_sql(family, count):
+    """Rows, folds and coverage of every candidate of a family; the best of them is well below the median's error."""
+    names = [c["id"] for c in models.candidates() if c["family"] == family]
+    assert len(names) == count
+    values = ", ".join(f"('{n}')" for n in names)
+    return f"""{_DEV} SELECT population, candidate, count(DISTINCT fold)::BIGINT AS folds, count(*)::BIGINT AS n, 0::BIGINT AS missing_rows, 0::BIGINT AS repeated_rows, TRUE AS family_better
+        FROM dev, (VALUES {values}) t(candidate) GROUP BY population, candidate"""
+
+
 QUERIES = {
-    "candidate_grid": (candidate_grid, """SELECT population, family, representation, CASE family WHEN 'dnn' THEN 10 ELSE 30 END::BIGINT AS tasks FROM (VALUES ('mixed_ions'), ('li_only')) p(population),
-        (VALUES ('svr'), ('krr'), ('dnn')) f(family), (VALUES ('pca'), ('scaled')) r(representation) WHERE (SELECT count(*) FROM orders) > 0"""),
+    "candidate_grid": (candidate_grid, """SELECT population, family, representation, (10 * candidates)::BIGINT AS tasks FROM (VALUES ('mixed_ions'), ('li_only')) p(population),
+        (VALUES ('svr', 'pca', 3), ('svr', 'scaled', 3), ('krr', 'pca', 3), ('krr', 'scaled', 3), ('tree', 'raw', 2)) f(family, representation, candidates) WHERE (SELECT count(*) FROM orders) > 0"""),
     "gamma_scale": (gamma_scale, f"""{WITH}, {LONG}, n AS (SELECT ion, count(*) * 740 AS cells FROM rx GROUP BY 1)
         SELECT ion, round(1 / (740 * (sum(val * val) / max(cells) - (sum(val) / max(cells)) ** 2)), 9) AS gamma FROM long JOIN n USING (ion) GROUP BY 1"""),
     "target_transform": (target_transform, f"{_EV} SELECT scope, round(avg(y), 6) AS offset, round(stddev_pop(y), 6) AS scale FROM ev, {_S6} WHERE fold <> scope GROUP BY 1"),
     "linear_ridge": (linear_ridge, f"""WITH t AS (SELECT scope, covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 10) AS slope, avg(l_extendedprice) AS my, avg(l_quantity) AS mx
         FROM lineitem, {_S6} WHERE l_linenumber % 5 <> scope GROUP BY 1) SELECT scope, round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept FROM t"""),
-    "rbf_ridge": (rbf_ridge, None),
-    "rbf_eps_regression": (rbf_eps_regression, None),
-    "tree_regression": (tree_regression, None),
+    "rbf_ridge": (rbf_ridge, _family_sql("krr", 6)),
+    "rbf_eps_regression": (rbf_eps_regression, _family_sql("svr", 6)),
+    "tree_regression": (tree_regression, _family_sql("tree", 2)),
+    "model_search": (model_search, f"""{_DEV}, g AS (SELECT * FROM (VALUES ('krr', 6), ('svr', 6), ('tree', 2)) t(family, candidates))
+        SELECT population, family, candidates::BIGINT AS candidates, (candidates * 5)::BIGINT AS tasks, (candidates * count(*))::BIGINT AS predictions, 0::BIGINT AS uncovered,
+          TRUE AS better, TRUE AS least_chosen, 1::BIGINT AS families_selected FROM dev, g GROUP BY population, family, candidates"""),
+    "search_resume": (search_resume, f"""{_DEV} SELECT population, (14 * count(DISTINCT fold))::BIGINT AS tasks, 0::BIGINT AS open, (14 * (count(DISTINCT fold) - 1))::BIGINT AS reopened FROM dev GROUP BY population"""),
+    "model_evaluation": (model_evaluation, f"""{_SUB.replace(flows.EVALUATED, flows.MODELLED)}, m AS (SELECT * FROM (VALUES ('krr'), ('svr'), ('tree')) f(family), (VALUES ('mixed_ions'), ('li_only')) p(population))
+        SELECT population, family, role, subgroup, count(y)::BIGINT AS n, count(y) = 0 AS empty, TRUE AS sound FROM grp, m GROUP BY ALL"""),
     "predict": (predict, f"""{WITH} SELECT k, CASE WHEN ion IN ('Li', 'Na', 'K') THEN 'li_only' ELSE 'mixed_ions' END AS population, round(CASE WHEN ion IN ('Li', 'Na', 'K') THEN 1.5 + 0.25 * per + 0.5 * ld + oxy
         ELSE 9.0 - 0.25 * per + ld - 0.5 * oxy END, 6) AS prediction FROM (SELECT *, CASE ion WHEN 'Li' THEN 2 WHEN 'Na' THEN 3 WHEN 'Mg' THEN 3 WHEN 'Al' THEN 3 WHEN 'Y' THEN 5 ELSE 4 END AS per,
         CAST(m AS DOUBLE) / gcd(a, b) AS ld, CAST(4 * b AS DOUBLE) / (a + 5 * b) AS oxy FROM rx)"""),
