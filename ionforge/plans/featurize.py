@@ -93,7 +93,7 @@ def fit_all_folds(spark, sf):
 def transform_scaled(spark, sf):
     rows = flows.embedding_vectors(spark, sf)
     states = stored(preprocess.fit_states(rows, 64, flows.FOLDS), "embstates")
-    scaled = preprocess.transform_scaled(rows.withColumn("scope", F.col("fold")), states, ["vec_id"])
+    scaled = preprocess.transform_scaled(rows.withColumn("scope", F.col("fold")), states, ["vec_id"], 64)
     return scaled.select("vec_id", "idx", F.round("scaled", 5).alias("scaled"))
 
 
@@ -136,10 +136,17 @@ def transform_pca(spark, sf):
 
 
 def fit_pca_features(spark, sf):
-    """Eight components of the full reaction features: rows-only check plus invariants in the tests."""
+    """Components of the full reaction features: trace and squared correlations against SQL, and unit orthogonal loadings."""
     vectors, states = flows.vectors(spark, sf), flows.states(spark, sf)
-    pca = flows.once(spark, sf, "pca", lambda: preprocess.fit_pca(vectors, states, WIDTH, 8))
-    return pca.select("scope", "component", F.round("ratio", 6).alias("ratio"), F.size("idx").alias("active"))
+    pca = flows.once(spark, sf, "pca", lambda: preprocess.fit_pca(vectors, states, WIDTH, 80))
+    a, b = pca.alias("a"), pca.select("scope", F.col("component").alias("other"), F.col("loading").alias("second")).alias("b")
+    dot = F.aggregate(F.zip_with("loading", "second", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    off = a.join(b, "scope").select("scope", F.abs(dot - F.when(F.col("component") == F.col("other"), 1.0).otherwise(0.0)).alias("off"))
+    unit = off.groupBy("scope").agg((F.max("off") < 1e-9).alias("orthogonal"))
+    whole = pca.groupBy("scope").agg(
+        F.count("*").alias("components"), F.max(F.size("idx")).cast("bigint").alias("active"), F.round(F.avg(F.col("eigenvalue") / F.col("ratio")), 6).alias("trace"),
+        F.round(F.max("squares"), 4).alias("squares"))
+    return whole.join(unit, "scope").select(F.col("scope").cast("bigint").alias("scope"), "components", "active", "trace", "squares", "orthogonal")
 
 
 def support_diagnostics(spark, sf):
@@ -191,7 +198,14 @@ QUERIES = {
         UNION ALL SELECT scope, 1, round((1 - abs(r)) / 2, 6), CAST(1 AS DOUBLE) FROM c"""),
     "transform_pca": (transform_pca, f"""{_CORR}, z AS (SELECT scope, (l_quantity - mq) / sq AS a, sign(r) * (l_extendedprice - mp) / sp AS b FROM lineitem JOIN c ON l_linenumber % 5 = scope)
         SELECT scope, count(*) AS n, round(sum((a + b) ** 2 / 2), 2) AS square_1, round(sum((a - b) ** 2 / 2), 2) AS square_2 FROM z GROUP BY 1"""),
-    "fit_pca_features": (fit_pca_features, None),
+    "fit_pca_features": (fit_pca_features, f"""{_STATE}, dv AS (SELECT scope, idx, sum((val - mean) ** 2) AS d2 FROM long JOIN act USING (idx) WHERE c % 5 <> scope GROUP BY 1, 2),
+        sd AS (SELECT scope, idx, n, mean, sqrt((d2 + (n - nz) * mean * mean) / n) AS std FROM act JOIN dv USING (scope, idx)),
+        pr AS (SELECT x.c % 5 AS fold, x.idx AS i, y.idx AS j, sum(x.val * y.val) AS s FROM long x JOIN long y ON x.k = y.k GROUP BY 1, 2, 3),
+        ps AS (SELECT scope, i, j, sum(s) AS s FROM pr, sc WHERE fold <> scope GROUP BY 1, 2, 3),
+        lone AS (SELECT scope, count(*) AS active, sum((mean / std) ** 2) ** 2 AS q FROM sd GROUP BY 1),
+        both_in AS (SELECT scope, sum(((s / a.n - a.mean * b.mean) / (a.std * b.std)) ** 2 - (a.mean * b.mean / (a.std * b.std)) ** 2) AS q
+          FROM ps JOIN sd a USING (scope) JOIN sd b USING (scope) WHERE a.idx = i AND b.idx = j GROUP BY 1)
+        SELECT scope, 80::BIGINT AS components, active, round(active::DOUBLE, 6) AS trace, round(lone.q + both_in.q, 4) AS squares, TRUE AS orthogonal FROM lone JOIN both_in USING (scope)"""),
     "support_diagnostics": (support_diagnostics, f"""{_FULL}, n AS (SELECT count(*) AS n FROM rx WHERE ion = 'Li'),
         li AS (SELECT idx, count(*) AS nz, sum(val) / max(n) AS mean, min(val) AS lo, max(val) AS hi, max(n) AS n FROM long, n WHERE ion = 'Li' GROUP BY 1),
         cols AS (SELECT i AS idx, coalesce(mean, 0) AS mean FROM range(740) t(i) LEFT JOIN li ON li.idx = i

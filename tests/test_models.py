@@ -70,7 +70,7 @@ def test_kernel_models_match_direct_solution(spark, matrix):
     scored = models.predict_kernel(df.withColumn("scope", F.col("fold")), maps, fitted, ["row_uid", "fold", "y"])
     cover = evaluate.oof_coverage(df, scored)
     assert {(r.missing_rows, r.repeated_rows) for r in cover.collect()} == {(0, 0)}
-    tube = models.rbf_eps_regression(df, maps, [c for c in models.candidates() if c["id"] == "svr_scaled_1"], FOLDS, [0], steps=3)
+    tube = models.rbf_eps_regression(df, maps, [c for c in models.candidates() if c["id"] == "svr_scaled_1"], FOLDS, [0])
     assert np.isfinite(tube[0][-1]).all()
 
 
@@ -133,10 +133,3 @@ def test_profile_rules(spark):
     rows = [row(1, 0, 0.0, 1 / 12), row(1, 1, 1 / 12, 1 / 6), row(2, 0, 0.0, 0.5), row(2, 1, 0.6, 0.7), row(3, 0, 0.0, 1.0)]
     got = {(r.profile_id, r.pos): r.violations for r in profiles.profile_contiguity(spark.createDataFrame(rows)).collect()}
     assert got == {(1, 0): [], (1, 1): [], (2, 0): [], (2, 1): ["gap_or_overlap"], (3, 0): ["interval_count"]}
-
-
-def test_tree_vector_is_dense_and_ordered(spark, matrix):
-    x, y, fold, df = matrix
-    got = models.dense_vector(df, WIDTH).orderBy("row_uid").limit(5).collect()
-    for i, r in enumerate(got):
-        assert r.features.toArray() == pytest.approx(x[i])
