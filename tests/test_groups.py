@@ -133,3 +133,24 @@ def test_audit_finds_a_leak(spark):
     assert {(r.fold, r.shared_endpoint, r.shared_group) for r in audit.collect()} == {(0, 1, 0), (1, 1, 0)}
     with pytest.raises(Exception, match="leakage"):
         splits.assert_no_leakage(audit).collect()
+
+
+@pytest.mark.parametrize("chunk,tasks,most", [(40, 20, 12), (1_000_000, 1, 1)])
+def test_chains_and_hubs_settle_in_few_rounds(spark, monkeypatch, chunk, tasks, most):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    edges = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(2000)] + [("hub", f"h{i}") for i in range(1500)] + [("x", "x")]
+    random.Random(2).shuffle(edges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(tasks == 1).lower())
+    try:
+        found, rounds = components.token_components(spark.createDataFrame(edges, "u string, v string").repartition(tasks))
+        rows = [(r.token, r.rep) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert rounds <= most and len(rows) == len(dict(rows)) == 2000 + 1500
+    assert len({rep for token, rep in rows if token[0] == "c"}) == len({rep for token, rep in rows if token[0] != "c"}) == 1
+
+
+def test_a_hub_meets_one_row_per_task(spark):
+    edges = spark.range(20_000).select(F.lit("hub").alias("u"), F.concat(F.lit("h"), "id").alias("v")).repartition(6)
+    stars = components.local_stars(edges, 0)
+    assert stars.where("x = 'hub'").count() <= 6 and stars.count() <= 20_000 + 6
