@@ -306,12 +306,16 @@ def predict_kernel(rows, maps, fitted, keys, scope="scope"):
     return predict_models(rows, kernel_models(maps, fitted), keys, maps.width, scope)
 
 
+def linear_dot(weights):
+    """Inner product of a row's entries with a ``map<int,double>`` of weights, inside the JVM."""
+    return F.aggregate(F.arrays_zip("idx", "val"), F.lit(0.0),
+                       lambda acc, e: acc + e["val"] * F.coalesce(F.try_element_at(weights, e["idx"]), F.lit(0.0)))
+
+
 def linear_predict(rows, models, keys):
     """Score rows with linear models ``(model keys, intercept, weights map<int,double>)`` inside the JVM.
 
     The model table has one row per population and family.
     """
     joined = rows.join(F.broadcast(models), list(keys))
-    dot = F.aggregate(F.arrays_zip("idx", "val"), F.lit(0.0),
-                      lambda acc, e: acc + e["val"] * F.coalesce(F.try_element_at("weights", e["idx"]), F.lit(0.0)))
-    return joined.withColumn("prediction", F.col("intercept") + dot).drop("intercept", "weights")
+    return joined.withColumn("prediction", F.col("intercept") + linear_dot("weights")).drop("intercept", "weights")

@@ -139,6 +139,24 @@ def support_diagnostics(rows, states, keys, scope="scope"):
         F.filter("cols", lambda c: F.abs(value(c) - c["mean"]) > SUPPORT_TOLERANCE), lambda c: c["idx"])).alias("idx"))
 
 
+def population_states(states):
+    """Full-fit states of several populations (``{name: states}``) in one table with a ``population`` column."""
+    out = None
+    for name, table in states.items():
+        part = table.where(F.col("scope") == ALL).withColumn("population", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def changed_counts(rows, states, out="changed_constants"):
+    """Add how many columns that are constant in the training of a row's population differ in the row."""
+    fixed = states.where(~F.col("active")).groupBy("population").agg(F.collect_list(F.struct("idx", "mean")).alias("__fixed"))
+    joined = rows.join(F.broadcast(fixed), "population", "left").withColumn("__x", F.map_from_arrays("idx", "val"))
+    value = lambda c: F.coalesce(F.try_element_at(F.col("__x"), c["idx"]), F.lit(0.0))
+    count = F.size(F.filter(F.coalesce("__fixed", F.array().cast(fixed.schema["__fixed"].dataType)), lambda c: F.abs(value(c) - c["mean"]) > SUPPORT_TOLERANCE))
+    return joined.withColumn(out, count).drop("__fixed", "__x")
+
+
 #: Entries of a packed matrix in one shuffled row, and partial matrices added up in one task.
 BLOCK, FAN = 32_768, 16
 

@@ -3,20 +3,24 @@
 from pyspark.sql import functions as F
 
 from ionforge.constants import CORE_IONS, SIDES, TRANSFER_IONS, SplitSettings
-from ionforge.functions.composition import host_key, parse_formulas, reduce_composition, with_host
+from ionforge.functions.composition import host_key, parse_formulas, reduce_composition
 from ionforge.functions.keys import fingerprint, row_uid
 from ionforge.functions.values import crystal_system, finite_number, has_text, is_digits, stripped
 from ionforge.operators.dedup import flag_exact_duplicate_rows, flag_identity_conflict
+from ionforge.operators.formulas import attach_formulas, formula_table
 from ionforge.operators.skew import attach, attach_stored
 from ionforge.rules import canonical_flags, flags, join_flags
 from ionforge.session import stored
 
+# The columns that an interval row must have.
 REQUIRED = (
     "record_key", "row_type", "interval_index", "working_ion", "framework_formula",
     "formula_charge", "formula_discharge", "id_charge", "id_discharge", "fracA_charge",
     "fracA_discharge", "average_voltage_V", "crystal_system_charge", "crystal_system_discharge",
     "spacegroup_number_charge", "spacegroup_number_discharge",
 )
+#: What spreads rows with a very frequent key.
+IDENTITY = ("record_key", "interval_index")
 
 
 def require_columns(rows, names=REQUIRED):
@@ -32,16 +36,12 @@ def row_identity(rows, content):
                              "input_row_hash": fingerprint(rows, content)})
 
 
-def with_reaction_algebra(rows, ion="working_ion"):
-    """Parse both endpoints and the framework; add host structs and reduced framework."""
-    # A charged endpoint is often the bare framework: parse such a text once.
-    same = F.col("framework_formula").eqNullSafe(F.col("formula_charge"))
-    rows = rows.withColumn("__own_framework", F.when(~same, F.col("framework_formula")))
-    rows = parse_formulas(rows, __fc="formula_charge", __fd="formula_discharge", __fo="__own_framework")
-    rows = rows.withColumn("__ff", F.when(same, F.col("__fc")).otherwise(F.col("__fo"))).drop("__own_framework", "__fo")
-    rows = with_host(rows, ion, __host_charge="__fc.comp", __host_discharge="__fd.comp")
-    rows = reduce_composition(rows, __framework="__ff.comp", __rc="__fc.comp", __rd="__fd.comp")
-    return rows.withColumns({"reduced_charge": host_key("__rc"), "reduced_discharge": host_key("__rd")}).drop("__rc", "__rd")
+def with_reaction_algebra(rows, ion="working_ion", spread=IDENTITY):
+    """Add host structs, reduced framework and reduced endpoint keys; every distinct formula is parsed once per ion."""
+    table = formula_table(rows, ["formula_charge", "formula_discharge", "framework_formula"], ion)
+    rows = attach_formulas(rows, table, list(spread), ion, __fc="formula_charge", __fd="formula_discharge", __ff="framework_formula")
+    made = {f"__host_{s}": F.col(f"__f{s[0]}")["host"] for s in SIDES} | {f"reduced_{s}": F.col(f"__f{s[0]}")["key"] for s in SIDES}
+    return rows.withColumns({**made, "__framework": F.col("__ff")["reduced"]}).drop("__fc", "__fd", "__ff")
 
 
 def reaction_consistency(rows, tolerance=1e-6):
@@ -123,7 +123,7 @@ def validation_rules(rows, settings=SplitSettings()):
         "symmetry_checks_passed": F.size("__symmetry") == 0,
         "review_flags": canonical_flags(flags(review), carried),
         "priority_voltage_review": priority, "label": voltage,
-    }).drop("__composition", "__symmetry", "__fc", "__fd", "__ff", "__host_charge", "__host_discharge")
+    }).drop("__composition", "__symmetry", "__host_charge", "__host_discharge")
 
 
 def _reduced_endpoint_keys(rows):

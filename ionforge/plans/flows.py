@@ -142,6 +142,24 @@ def final(spark, sf_dir):
     return once(spark, sf_dir, "final", build)
 
 
+def fitted(spark, sf_dir):
+    """The chosen models by (population, family), and the chosen family of each population."""
+    found = search(spark, sf_dir)
+    found.run()
+    selection = stored(found.select(found.summary()), "selection")
+    models = {(p, family): model for p, own in found.final_models(selection).items() for family, model in own}
+    return models, selection.where("selected").select("population", "family")
+
+
+def support(spark, sf_dir):
+    """Full-fit states of both populations over all their rows."""
+    def build():
+        rows = vectors(spark, sf_dir)
+        own = {"mixed_ions": rows.where("ion NOT IN ('Na', 'K')"), "li_only": rows.where("ion = 'Li'")}
+        return preprocess.population_states({p: preprocess.fit_states(stored(r, "support-rows"), features.WIDTH, FOLDS) for p, r in own.items()})
+    return once(spark, sf_dir, "support", build)
+
+
 def states(spark, sf_dir):
     return once(spark, sf_dir, "states", lambda: preprocess.fit_states(vectors(spark, sf_dir), features.WIDTH, FOLDS))
 

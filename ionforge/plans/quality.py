@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ionforge.functions import composition as comp
 from ionforge.functions.keys import fingerprint, row_uid, set_digest
-from ionforge.operators import dedup, intervals, validate
+from ionforge.operators import dedup, formulas, intervals, validate
 from ionforge.plans import flows
 from ionforge.plans.fixtures import (ALL_FACTS, GROUPED, HOST_TEXT, LABEL_FACT, REVIEW_FACTS, RULE_FACTS, SPLIT, SYMMETRY_FACTS, WITH, balanced,
                                      clean, composition_text, fact_any, fact_text, raw, table)
@@ -185,7 +185,7 @@ def review_queue_query(spark, sf):
 
 
 def _parsed(spark, sf):
-    return comp.parse_formulas(raw(spark, sf), pc="formula_charge", pd="formula_discharge")
+    return formulas.parse_distinct(raw(spark, sf), ["source_row"], pc="formula_charge", pd="formula_discharge")
 
 
 def parse_composition(spark, sf):

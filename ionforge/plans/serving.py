@@ -9,7 +9,7 @@ from ionforge.plans.fixtures import LONG, WITH, table
 from ionforge.rules import flag_text
 from ionforge.session import scratch_path
 from ionforge.sources.tables import csv_safe
-from ionforge.streaming.score import read_requests, score_stream
+from ionforge.streaming.score import accounting_path, read_requests, score_stream
 
 
 def route_model(spark, sf):
@@ -18,7 +18,7 @@ def route_model(spark, sf):
 
 
 def _scored(spark, sf):
-    return scoring.score_batch(scoring.contract_check(flows.clean_requests(spark, sf)), flows.defaults(spark), flows.linear_models(spark))
+    return scoring.score_batch(flows.clean_requests(spark, sf), flows.defaults(spark), flows.linear_models(spark), states=flows.support(spark, sf))
 
 
 def _stored_scores(spark, sf):
@@ -41,12 +41,39 @@ def score_stream_query(spark, sf):
     stream = read_requests(spark, source, spark.read.parquet(source).schema, files_per_trigger=2)
     query = score_stream(stream, flows.defaults(spark), flows.linear_models(spark), output, scratch_path(spark, "progress"))
     query.awaitTermination()
-    return _score_columns(spark.read.parquet(f"{output}/scored"))
+    return _score_columns(spark.read.parquet(output).where("outcome = 'scored'"))
+
+
+def _arriving(spark, sf):
+    """Requests with contract faults, impossible routes, broken formulas, and a family that was never fitted."""
+    k = F.col("request_id")
+    return flows.requests(spark, sf).withColumn("model_family", F.when(k % 11 == 0, "dnn").otherwise(F.col("model_family")))
+
+
+def score_accounting(spark, sf):
+    """The stream over faulty requests with the fitted models: what came in is scored or rejected, once."""
+    source, output = scratch_path(spark, "arriving"), scratch_path(spark, "outcomes")
+    _arriving(spark, sf).repartition(4, "request_id").write.parquet(source)
+    models, defaults = flows.fitted(spark, sf)
+    stream = read_requests(spark, source, spark.read.parquet(source).schema, files_per_trigger=2)
+    score_stream(stream, defaults, models, output, scratch_path(spark, "progress"), states=flows.support(spark, sf)).awaitTermination()
+    counted = spark.read.parquet(accounting_path(output)).agg(*[F.sum(c).alias(c) for c in ("requests", "outcomes", "scored", "rejected")])
+    rows = spark.read.parquet(output)
+    table = rows.agg(F.countDistinct("request_id").alias("ids"), F.count_if((F.col("outcome") == "scored") & F.col("prediction").isNotNull()).alias("predicted"),
+                     F.count_if((F.col("outcome") == "rejected") & F.col("reason").isNotNull()).alias("with_reason"))
+    return counted.crossJoin(F.broadcast(table))  # one row each
+
+
+def score_fitted(spark, sf):
+    """The clean requests scored in one pass by the fitted models of the search."""
+    models, defaults = flows.fitted(spark, sf)
+    rows = scoring.score_batch(flows.clean_requests(spark, sf), defaults, models, states=flows.support(spark, sf))
+    near = F.abs(F.col("prediction")) < 1000
+    return rows.groupBy("population").agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("ids"), F.count_if(near).alias("plausible"), F.sum(F.col("changed_constants")).alias("changed"))
 
 
 def prediction_warnings(spark, sf):
-    rows = _stored_scores(spark, sf).withColumn("changed_constants", (F.col("request_id") % 2).cast("int"))
-    out = scoring.prediction_warnings(rows)
+    out = scoring.prediction_warnings(_stored_scores(spark, sf))
     return out.select("request_id", "extrapolates_working_ion", flag_text("warnings").alias("warnings"))
 
 
@@ -146,6 +173,14 @@ _ROUTED = f"""{WITH}, rq AS (SELECT *, CASE WHEN k % 2 = 0 AND ion IN ('Li', 'Na
 rf AS (SELECT *, CASE k % 3 WHEN 0 THEN {_DEF.format(p='population')} WHEN 1 THEN 'krr' ELSE 'svr' END AS family FROM rq),
 lm AS (SELECT * FROM (VALUES {', '.join(str(row) for row in flows.LINEAR)}) t(population, family, b0, w1, w2, w3)),
 sc AS (SELECT rf.*, b0 + w1 * per + w2 * ld + w3 * oxy AS prediction FROM rf JOIN lm USING (population, family))"""
+# Out-of-support columns of every request against the rows of its population.
+_CHANGED = f"""{LONG}, pm AS (SELECT 'li_only' AS population, k FROM rx WHERE ion = 'Li' UNION ALL SELECT 'mixed_ions', k FROM rx WHERE ion NOT IN ('Na', 'K')),
+pn AS (SELECT population, count(*) AS n FROM pm GROUP BY 1),
+ps AS (SELECT population, idx, count(*) AS nz, sum(val) / max(n) AS mean, min(val) AS lo, max(val) AS hi, max(n) AS n FROM long JOIN pm USING (k) JOIN pn USING (population) GROUP BY 1, 2),
+pf AS (SELECT pn.population, i AS idx, coalesce(mean, 0) AS mean FROM range(740) t(i) CROSS JOIN pn LEFT JOIN ps ON ps.idx = i AND ps.population = pn.population
+  WHERE mean IS NULL OR CASE WHEN nz < ps.n THEN greatest(hi, 0) - least(lo, 0) ELSE hi - lo END <= 1e-12),
+hit AS (SELECT sc.k, pf.idx FROM sc JOIN long ON long.k = sc.k JOIN pf ON pf.idx = long.idx AND pf.population = sc.population WHERE abs(val - mean) > 1e-9
+  UNION ALL SELECT sc.k, pf.idx FROM sc JOIN pf ON pf.population = sc.population AND mean <> 0 LEFT JOIN long ON long.k = sc.k AND long.idx = pf.idx WHERE long.val IS NULL)"""
 _SCORES = f"{_ROUTED} SELECT k AS request_id, population, family, round(prediction, 6) AS prediction, round(ld, 6) AS loading FROM sc"
 _MET = f"""{flows.EVALUATED}, grown AS (SELECT ev.*, population, family, prediction + shift AS p FROM ev, (VALUES ('mixed_ions', 'krr', 0), ('mixed_ions', 'svr', 0.5), ('li_only', 'krr', 1), ('li_only', 'svr', 1.5),
   ('mixed_ions', 'median', 2), ('li_only', 'median', 2.5)) t(population, family, shift) WHERE role <> 'development'),
@@ -162,9 +197,14 @@ QUERIES = {
         CASE WHEN population = 'li_only' AND wi NOT IN ('Li', 'Na', 'K') THEN 'li_only routing is unsupported for this ion' END AS route_error FROM p"""),
     "score_batch": (score_batch, _SCORES),
     "score_stream": (score_stream_query, _SCORES),
-    "prediction_warnings": (prediction_warnings, f"""{_ROUTED}, w AS (SELECT *, CASE WHEN population = 'li_only' THEN ion <> 'Li' ELSE ion IN ('Na', 'K') END AS ex FROM sc)
+    "score_accounting": (score_accounting, f"""{WITH}, q AS (SELECT k, k % 47 = 0 OR k % 37 = 0 OR k % 19 = 0 OR k % 31 = 0 OR k % 23 = 0 OR k % 11 = 0 OR (k % 4 = 0 AND ion NOT IN ('Li', 'Na', 'K')) AS bad FROM rx)
+        SELECT count(*)::BIGINT AS requests, count(*)::BIGINT AS outcomes, count_if(NOT bad)::BIGINT AS scored, count_if(bad)::BIGINT AS rejected, count(DISTINCT k)::BIGINT AS ids,
+          count_if(NOT bad)::BIGINT AS predicted, count_if(bad)::BIGINT AS with_reason FROM q"""),
+    "score_fitted": (score_fitted, f"""{_ROUTED}, {_CHANGED}, c AS (SELECT k, count(*) AS changed FROM hit GROUP BY 1)
+        SELECT population, count(*)::BIGINT AS n, count(DISTINCT k)::BIGINT AS ids, count(*)::BIGINT AS plausible, coalesce(sum(changed), 0)::BIGINT AS changed FROM sc LEFT JOIN c USING (k) GROUP BY 1"""),
+    "prediction_warnings": (prediction_warnings, f"""{_ROUTED}, {_CHANGED}, w AS (SELECT *, CASE WHEN population = 'li_only' THEN ion <> 'Li' ELSE ion IN ('Na', 'K') END AS ex FROM sc)
         SELECT k AS request_id, ex AS extrapolates_working_ion, concat_ws(';', 'computed_reference_only', 'no_calibrated_uncertainty', CASE WHEN ex THEN 'working_ion_absent_from_training' END,
-        CASE WHEN k % 2 = 1 THEN 'changed_training_constant_features' END, CASE WHEN prediction < 0 THEN 'negative_prediction' END, CASE WHEN prediction < -3 OR prediction > 10 THEN 'outside_review_bounds' END) AS warnings FROM w"""),
+        CASE WHEN k IN (SELECT k FROM hit) THEN 'changed_training_constant_features' END, CASE WHEN prediction < 0 THEN 'negative_prediction' END, CASE WHEN prediction < -3 OR prediction > 10 THEN 'outside_review_bounds' END) AS warnings FROM w"""),
     "changed_constants": (changed_constants, f"""{WITH}, {LONG}, n AS (SELECT count(*) AS n FROM rx WHERE ion = 'Li'),
         li AS (SELECT idx, count(*) AS nz, sum(val) / max(n) AS mean, min(val) AS lo, max(val) AS hi, max(n) AS n FROM long, n WHERE ion = 'Li' GROUP BY 1),
         fixed AS (SELECT i AS idx, coalesce(mean, 0) AS mean FROM range(740) t(i) LEFT JOIN li ON li.idx = i WHERE mean IS NULL OR CASE WHEN nz < n THEN greatest(hi, 0) - least(lo, 0) ELSE hi - lo END <= 1e-12),

@@ -44,3 +44,22 @@ def test_filter_on_error_does_not_repeat_the_parser(spark):
     plan = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") < 20
     assert parsed.count() == 1
+
+
+def test_distinct_formulas_are_parsed_once_with_the_same_result(spark):
+    from ionforge.functions.composition import parse_formulas
+    from ionforge.operators.formulas import formula_table, parse_distinct
+    odd = [None, "", "Fe(OH", "Fe(OH]2", "K4[Fe(CN)6]", "CH3COOH", "Xx2", "Fe0", "LiFePO4", "A" * 2000, "((((((((((((((Li))))))))))))))", "Fe1000000", "Fe10000000"]
+    rows = [(i, "LiFePO4" if i % 3 == 0 else odd[i % len(odd)], odd[(7 * i) % len(odd)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "row int, a string, b string").repartition(5)
+    want = {tuple(map(str, r)) for r in parse_formulas(df, pa="a", pb="b").collect()}
+    got = {tuple(map(str, r)) for r in parse_distinct(df, ["row"], pa="a", pb="b").select("row", "a", "b", "pa", "pb").collect()}
+    assert got == {tuple(map(str, r)) for r in parse_formulas(df, pa="a", pb="b").select("row", "a", "b", "pa", "pb").collect()} and len(want) == 300
+    assert formula_table(df, ["a", "b"]).count() == len(set(odd) - {None})
+
+
+def test_rows_of_a_lookup_hold_no_parser(spark):
+    from ionforge.operators.formulas import parse_distinct
+    df = spark.createDataFrame([(1, "LiFePO4")], "row int, a string")
+    plan = parse_distinct(df, ["row"], pa="a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
