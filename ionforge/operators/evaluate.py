@@ -27,7 +27,7 @@ def regression_metrics(rows, groups=(), y="y", pred="prediction"):
 
 def median_baseline(rows, folds, y="y"):
     """Exact training median per scope: leave-one-fold-out, and all rows as scope -1."""
-    return exact_median(rows.select(F.col(y), F.explode(_other_scopes(folds)).alias("scope")), ["scope"], y)
+    return exact_median(rows.select("fold", F.col(y)), [], y, fold="fold", scopes=("scope", _other_scopes(folds)))
 
 
 def median_oof(rows, folds, y="y"):

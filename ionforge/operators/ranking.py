@@ -3,8 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ionforge.session import stored
+
 HASH_DIGITS = 3
-BINS = 65_536
+#: Parts that a histogram bin is cut into.
+BINS = 1024
 
 
 def hash_rank(df, hash_col, out="rank", within=(), digits=HASH_DIGITS):
@@ -27,31 +30,57 @@ def hash_rank(df, hash_col, out="rank", within=(), digits=HASH_DIGITS):
             .drop("__bucket", "__before"))
 
 
-def exact_median(df, groups, value, out="median"):
+def _to_scopes(counts, fold, scopes):
+    """Counts of a fold serve every scope that it belongs to; the rows themselves are never copied."""
+    return counts.withColumn(scopes[0], F.explode(scopes[1])).drop(*fold) if fold else counts
+
+
+def exact_median(df, groups, value, out="median", fold=None, scopes=None):
     """Exact interpolating median of each (small-cardinality) group.
 
-    Pass 1 finds count and range, pass 2 a histogram with map-side combine,
-    pass 3 ranks only the distinct values of the one or two bins that hold
-    the middle ranks.  Nothing is sorted or collected per group.
+    With ``fold`` and ``scopes`` (a name, and the column of scopes that a row's
+    fold belongs to) there is a median per group and scope: rows are counted by
+    fold, and only the counts are added up for each scope.
+
+    A histogram is refined bin by bin: the one or two bins that hold the middle
+    ranks are cut into ``BINS`` again between their own smallest and largest
+    values, until such a bin holds a single value. A pass keeps at most two bins
+    per median, so an outlier costs a pass, and no bin's rows meet in one task.
     """
-    groups = list(groups)
-    df = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("__v"))
+    groups, fold = list(groups), [fold] if fold else []
+    rows = df.where(F.col(value).isNotNull()).select(*groups, *fold, F.col(value).cast("double").alias("v"))
     if not groups:
-        df, groups = df.withColumn("__g", F.pmod(F.hash("__v"), F.lit(1))), ["__g"]
-    span = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(BINS))
-    bin_of = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(BINS - 1))).otherwise(0)
-    binned = df.join(span, groups).select(*groups, "__v", bin_of.cast("bigint").alias("__b"))
-    hist = binned.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    run = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("__before", F.coalesce(F.sum("__c").over(run), F.lit(0)))
-    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
-    holds = lambda r: (F.col("__before") <= r) & (r < F.col("__before") + F.col("__c"))
-    picked = hist.join(span.select(*groups, "__n"), groups).where(holds(low) | holds(high))
-    values = (binned.join(picked.select(*groups, "__b", "__before", "__n"), [*groups, "__b"])
-              .groupBy(*groups, "__b", "__before", "__n", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    run = Window.partitionBy(*groups, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__c").over(run), F.lit(0)))
-    pick = lambda r: F.max(F.when(holds(r), F.col("__v")))
-    result = values.groupBy(*groups).agg(pick(low).alias("__x"), pick(high).alias("__y"))
-    return result.select(*[g for g in groups if g != "__g"], ((F.col("__x") + F.col("__y")) / 2).alias(out))
+        rows, groups = rows.withColumn("all_rows", F.pmod(F.hash("v"), F.lit(1))), ["all_rows"]
+    targets = [*groups, scopes[0]] if fold else groups
+    counts = _to_scopes(rows.groupBy(*groups, *fold).agg(F.count(F.lit(1)).alias("c")), fold, scopes).groupBy(*targets).agg(F.sum("c").alias("n"))
+    sides = F.array(F.struct(F.lit("low").alias("side"), F.floor((F.col("n") - 1) / 2).alias("rank")), F.struct(F.lit("high").alias("side"), F.floor(F.col("n") / 2).alias("rank")))
+    open_ = stored(counts.select(*targets, F.inline(sides), F.lit("").alias("cell")), "ranks")
+    cells = rows.groupBy(*groups).agg(F.min("v").alias("a"), F.max("v").alias("b")).select(*groups, F.lit("").alias("cell"), "a", "b")
+    settled = None
+    while True:
+        # at most two bins per median
+        ranges = cells.groupBy(*groups).agg(F.collect_list(F.struct("cell", "a", "b")).alias("cells"))
+        inside = rows.join(ranges, groups).withColumn("c", F.get(F.filter("cells", lambda c: (c["a"] <= F.col("v")) & (F.col("v") <= c["b"])), F.lit(0))).where(F.col("c").isNotNull())
+        share = (F.col("v") / 2 - F.col("c.a") / 2) / (F.col("c.b") / 2 - F.col("c.a") / 2)
+        at = F.when(F.col("c.b") > F.col("c.a"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).cast("int")
+        counted = inside.groupBy(*groups, *fold, F.col("c.cell").alias("cell"), at.alias("at")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        counted = stored(counted, "bins")
+        hist = _to_scopes(counted, fold, scopes).groupBy(*targets, "cell", "at").agg(F.sum("c").alias("c"), F.min("a").alias("a"), F.max("b").alias("b"))
+        run = Window.partitionBy(*targets, "cell").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows
+        hist = hist.withColumn("before", F.coalesce(F.sum("c").over(run), F.lit(0)))
+        held = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c"))
+        picked = stored(open_.join(hist, [*targets, "cell"]).where(held).select(
+            *targets, "side", (F.col("rank") - F.col("before")).alias("rank"), "cell", "at", F.when(F.col("a") == F.col("b"), F.col("a")).alias("value")), "picked")
+        done = picked.where(F.col("value").isNotNull()).select(*targets, "side", "value")
+        settled = done if settled is None else settled.unionByName(done)
+        left = picked.where(F.col("value").isNull())
+        if left.isEmpty():
+            break
+        path = F.concat_ws(".", "cell", "at")
+        bounds = counted.groupBy(*groups, "cell", "at").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        wanted = left.select(*groups, "cell", "at").distinct()
+        cells = stored(bounds.join(wanted, [*groups, "cell", "at"]).select(*groups, path.alias("cell"), "a", "b"), "cells")
+        open_ = left.select(*targets, "side", "rank", path.alias("cell"))
+    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
+    result = settled.groupBy(*targets).agg(((pick("low") + pick("high")) / 2).alias(out))
+    return result.drop("all_rows")

@@ -33,7 +33,7 @@ def _torn(spark, sf):
 
 def read_jsonl_torn_tail(spark, sf):
     good, issues = _torn(spark, sf)
-    return good.unionByName(issues.select(F.lit(None).cast("bigint").alias("k"), F.col("kind").alias("name")))
+    return good.unionByName(issues.select(F.col("line").alias("k"), F.col("kind").alias("name")))
 
 
 def read_strict_csv(spark, sf):
@@ -69,20 +69,23 @@ def write_feature_table(spark, sf):
 
 
 def _manifest(spark, sf):
+    """Text files of known bytes, one per bucket of parts."""
     path = scratch_path(spark, "manifest")
-    table(spark, sf, "part").repartition(4, "p_partkey").write.parquet(path)
+    part = table(spark, sf, "part").select((F.col("p_partkey") % 4).alias("bucket"), "p_partkey", F.concat_ws("|", "p_partkey", "p_size").alias("value"))
+    part.repartitionByRange(4, "bucket").sortWithinPartitions("bucket", "p_partkey").drop("p_partkey").write.partitionBy("bucket").text(path)
     return path, runs.file_manifest(spark, path)
 
 
 def file_manifest(spark, sf):
     path, files = _manifest(spark, sf)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "bytes", "sha256")
+    return files.select(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("bigint").alias("bucket"), "bytes", "sha256")
 
 
 def verify_manifest(spark, sf):
+    """One changed, one missing and one outside file among the real ones."""
     path, files = _manifest(spark, sf)
-    first = files.agg(F.min("path")).scalar()
-    expected = files.withColumn("sha256", F.when(F.col("path") == first, F.lit("0")).otherwise(F.col("sha256")))
+    expected = files.withColumn("sha256", F.when(F.col("path").contains("bucket=0"), F.lit("0")).otherwise(F.col("sha256")))
+    expected = expected.where(~F.col("path").contains("bucket=3"))
     ghosts = spark.createDataFrame([(f"file:{path}/gone.parquet",), ("file:/elsewhere/x.parquet",)], "path string")
     expected = expected.select("path", "sha256").unionByName(ghosts.withColumn("sha256", F.lit("1")))
     return runs.verify_manifest(expected, files, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -204,14 +207,16 @@ _FAM = "CASE WHEN k % 3 = 0 THEN 'auto' WHEN k % 3 = 1 THEN 'krr' ELSE 'svr' END
 QUERIES = {
     "read_records_jsonl": (read_records_jsonl, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"),
     "read_jsonl_torn_tail": (read_jsonl_torn_tail, """SELECT o_orderkey AS k, o_orderpriority AS name FROM orders UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name FROM region
-        UNION ALL SELECT NULL, 'discarded_unfinished_line'"""),
+        UNION ALL SELECT 7, 'discarded_unfinished_line'"""),
     "read_strict_csv": (read_strict_csv, "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name, concat(' \"q\", ', p_type) AS quoted, '' AS blank FROM part"),
     "write_interval_tables": (write_interval_tables, f"{INSPECTED} SELECT k, i, coalesce(wion, '') AS wion, issues, warnings FROM insp"),
     "write_split_tables": (write_split_tables, f"{WITH}, {SPLIT} SELECT 'mixed_ions' AS model, partition, source_row, mixed_cv_fold AS fold FROM split"),
     "write_feature_table": (write_feature_table, f"""{WITH} SELECT 'mixed_ions' AS model, CASE WHEN ion IN ('Na', 'K') THEN 'transfer' ELSE 'development' END AS role,
         CAST(c % 5 AS INT) AS fold, count(*) AS n, round(sum(CAST(mv AS DOUBLE) / 1000), 4) AS sum_y, CAST(32 * count(*) AS BIGINT) AS nonzeros FROM rx GROUP BY ALL"""),
-    "file_manifest": (file_manifest, None),
-    "verify_manifest": (verify_manifest, None),
+    "file_manifest": (file_manifest, """SELECT p_partkey % 4 AS bucket, sum(length(line) + 1)::BIGINT AS bytes, sha256(string_agg(concat(line, chr(10)), '' ORDER BY p_partkey)) AS sha256
+        FROM (SELECT p_partkey, concat_ws('|', p_partkey, p_size) AS line FROM part) t GROUP BY 1"""),
+    "verify_manifest": (verify_manifest, """SELECT status, count(*) AS n FROM (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'changed' WHEN 3 THEN 'unexpected' ELSE 'ok' END AS status, p_partkey % 4 AS bucket FROM part
+        UNION ALL SELECT unnest(['missing', 'outside_root']), -1) t GROUP BY 1"""),
     "publish_run": (publish_run, "SELECT count(*) AS n, TRUE AS same_path, TRUE AS reused FROM part"),
     "latest_complete_run": (latest_complete_run, """WITH r AS (SELECT o_orderpriority, concat(strftime(o_orderdate, '%Y%m%d'), '_', lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS run_id,
         concat('/runs/', o_orderkey) AS path FROM orders WHERE o_orderstatus = 'F') SELECT o_orderpriority, max_by(path, run_id) AS path, max(run_id) AS run_id FROM r GROUP BY 1"""),

@@ -154,3 +154,14 @@ def test_a_hub_meets_one_row_per_task(spark):
     edges = spark.range(20_000).select(F.lit("hub").alias("u"), F.concat(F.lit("h"), "id").alias("v")).repartition(6)
     stars = components.local_stars(edges, 0)
     assert stars.where("x = 'hub'").count() <= 6 and stars.count() <= 20_000 + 6
+
+
+def test_exact_median_per_scope_with_an_outlier(spark, rng):
+    import numpy as np
+    values = np.concatenate([rng.normal(size=4001), [1e9, -1e300, 5.0, 5.0]])
+    rows = [(int(i % 4), float(v)) for i, v in enumerate(values)] + [(1, None)]
+    df = spark.createDataFrame(rows, "fold int, v double").repartition(5)
+    others = F.filter(F.array(*[F.lit(s) for s in (0, 1, 2, 3, -1)]), lambda s: s != F.col("fold"))
+    got = {r.scope: r.median for r in ranking.exact_median(df, [], "v", fold="fold", scopes=("scope", others)).collect()}
+    for scope in (0, 1, 2, 3, -1):
+        assert got[scope] == np.median([v for f, v in rows if f != scope and v is not None])
