@@ -16,8 +16,8 @@ shingles of a whole text. Distinct fingerprints that differ in at most
 
 Pivot distances of 64 random bits spread by 4 only, so alone they would leave
 nearly all pairs; that is why step 1 comes first. A cell reports a spanning
-forest of its links, not all pairs. Components come from alternating star
-contraction over written tables.
+forest of its links, not all pairs. Components come from union-find inside the
+tasks and rounds between them over written tables.
 
 Defined results: null text counts as empty; texts without words have the zero
 fingerprint, which is linked like any other; texts with fewer words than a
@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ionforge.llm.common import ascii_lower, rowed
+from ionforge.operators.components import token_components
 from ionforge.session import stored
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -173,20 +174,9 @@ def links(prints, distance=DISTANCE, pivot_count=16):
 
 
 def components(edges):
-    """Smallest node of every linked node's component, by alternating large and small stars."""
-    edges = stored(edges, "links")
-    state = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = stored(small.where("u <> v").distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-        state = tuple(now)
+    """A common node (``root``) for every linked node (``fp``) but the root itself, by union-find in the tasks and rounds between them."""
+    found, _ = token_components(edges.select(*[F.col(c).cast("string").alias(c) for c in ("u", "v")]))
+    return found.select(F.col("token").cast("long").alias("fp"), F.col("rep").cast("long").alias("root"))
 
 
 def classes(prints_by_id, distance=DISTANCE):
