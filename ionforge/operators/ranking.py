@@ -5,29 +5,49 @@ from pyspark.sql import functions as F
 
 from ionforge.session import stored
 
-HASH_DIGITS = 3
+#: Hex digits of a level of buckets (4,096 in a window), and rows that a bucket of the last level should hold at most.
+LEVEL_DIGITS, BUCKET_ROWS = 3, 100_000
 #: Parts that a histogram bin is cut into.
 BINS = 1024
 
 
-def hash_rank(df, hash_col, out="rank", within=(), digits=HASH_DIGITS):
+def bucket_levels(rows):
+    """Levels of 4,096 buckets each, so that the last level's buckets hold few enough rows."""
+    levels = 1
+    while rows > BUCKET_ROWS * 16 ** (LEVEL_DIGITS * levels):
+        levels += 1
+    return levels
+
+
+def hash_rank(df, hash_col, out="rank", within=(), levels=None):
     """0-based rank by a uniformly distributed hex hash, per ``within`` class.
 
-    Rows fall into 16**digits hash-prefix buckets of equal expected size; only
-    the bucket counts (at most 16**digits per class) see an ordered prefix sum.
+    Rows fall into hash-prefix buckets, whose number grows with the rows. A
+    bucket's offset is the sum of one offset per level: the rows of the buckets
+    before it under the same shorter prefix, so no ordered window has more than
+    4,096 buckets. Only inside a bucket are rows sorted.
     """
     within = list(within)
-    df = df.withColumn("__bucket", F.substring(hash_col, 1, digits))
-    counts = df.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    if not within:
-        counts = counts.withColumn("__all", F.pmod(F.length("__bucket"), F.lit(1)))
-        before = Window.partitionBy("__all").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*within, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*within, "__bucket").orderBy(hash_col)
-    ranked = df.join(offsets, [*within, "__bucket"])
+    if levels is None:
+        levels = bucket_levels(df.count())
+    one = [] if within else ["__all"]
+    df = df.withColumn("__bucket", F.substring(hash_col, 1, LEVEL_DIGITS * levels))
+    df = df if within else df.withColumn("__all", F.pmod(F.length("__bucket"), F.lit(1)))
+    classes = within or one
+    offsets = stored(df.groupBy(*classes, "__bucket").agg(F.count(F.lit(1)).alias("__n")), "buckets")
+    total = F.lit(0).cast("bigint")
+    for level in range(levels):
+        upper, lower = F.substring("__bucket", 1, LEVEL_DIGITS * level), F.substring("__bucket", 1, LEVEL_DIGITS * (level + 1))
+        sums = offsets.groupBy(*classes, upper.alias("__up"), lower.alias("__low")).agg(F.sum("__n").alias("__m"))
+        before = F.sum("__m").over(Window.partitionBy(*classes, "__up").orderBy("__low").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.select(*classes, "__low", F.coalesce(before, F.lit(0)).alias(f"__before{level}"))
+        offsets = offsets.withColumn("__low", lower).join(sums, [*classes, "__low"]).drop("__low")
+        total = total + F.col(f"__before{level}")
+    offsets = offsets.select(*classes, "__bucket", total.alias("__before"))
+    inside = Window.partitionBy(*classes, "__bucket").orderBy(hash_col)
+    ranked = df.join(offsets, [*classes, "__bucket"])
     return (ranked.withColumn(out, (F.col("__before") + F.row_number().over(inside) - 1).cast("bigint"))
-            .drop("__bucket", "__before"))
+            .drop("__bucket", "__before", *one))
 
 
 def _to_scopes(counts, fold, scopes):

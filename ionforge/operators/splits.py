@@ -1,13 +1,16 @@
 """Leak-free holdouts, balanced group folds and overlap audits."""
 
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ionforge.constants import CORE_IONS, SIDES, TRANSFER_IONS, SplitSettings
 from ionforge.functions.keys import seeded_hash
-from ionforge.operators.ranking import hash_rank
+from ionforge.operators.ranking import bucket_levels, hash_rank
 from ionforge.operators.skew import attach
+from ionforge.session import stored
 
-BROADCAST_CLASSES = 100_000
 OVERLAP_KINDS = (("group", ("group_id",)), ("record", ("record_key",)),
                  ("endpoint", ("id_charge", "id_discharge")), ("host", ("canonical_host",)))
 
@@ -26,16 +29,16 @@ def hash_holdout(groups, settings=SplitSettings(), group="group_id"):
     return hash_rank(hashed, "__hash").select(group, held.alias("held"))
 
 
-def fill_plan(size_counts, folds):
-    """Closed form of largest-first greedy filling, one entry per size class.
+def fill_classes(classes, folds):
+    """Closed form of largest-first greedy filling: (size, segments) for every size class.
 
-    ``size_counts`` is a list of (size, groups).  Within a class the lowest
-    folds take turns in a fixed order until the next fold's level is reached,
-    so a class needs at most ``folds`` segments (start rank, fold order).
+    ``classes`` yields (size, groups) by falling size.  Within a class the
+    lowest folds take turns in a fixed order until the next fold's level is
+    reached, so a class needs at most ``folds`` segments (start rank, fold
+    order). All that is kept between classes are the folds' totals.
     """
     totals, counts = [0] * folds, [0] * folds
-    plan = {}
-    for size, remaining in sorted(size_counts, reverse=True):
+    for size, remaining in classes:
         start, segments = 0, []
         while remaining:
             order = sorted(range(folds), key=lambda f: (totals[f], counts[f], f))
@@ -58,31 +61,48 @@ def fill_plan(size_counts, folds):
                 counts[f] += picks
             start += taken
             remaining -= taken
-        plan[size] = segments
-    return plan
+        yield size, segments
 
 
-def balanced_group_folds(rows, salt, settings=SplitSettings(), group="group_id", out="fold"):
-    """One fold per group: largest first, always to the least filled fold.
+def fill_plan(size_counts, folds):
+    """``fill_classes`` of a list as a dictionary."""
+    return dict(fill_classes(sorted(size_counts, reverse=True), folds))
 
-    Only the counts per distinct group size reach the driver: sizes add up to
-    the row count, so there are at most sqrt(2 * rows) of them.
+
+def filled(classes, folds):
+    """The plan of a class table (``__size, n``) as a table: one task streams it by falling size, K totals at hand.
+
+    Sizes add up to the row count, so there are at most sqrt(2 * rows) classes.
     """
-    spark, k = rows.sparkSession, settings.cv_folds
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("turn", pa.list_(pa.int32()))]))
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(batch.column("__size").to_pylist(), batch.column("n").to_pylist())
+
+        plan = fill_classes(rows(), folds)
+        while part := list(islice(plan, 1000)):
+            segments = [[{"start": start, "turn": turn} for start, turn in own] for _, own in part]
+            yield pa.RecordBatch.from_arrays([pa.array([size for size, _ in part], pa.int64()), pa.array(segments, kind)], ["__size", "__plan"])
+
+    ordered = classes.repartitionByRange(1, F.desc("__size")).sortWithinPartitions(F.desc("__size"))
+    return ordered.mapInArrow(run, "__size bigint, __plan array<struct<start:bigint,turn:array<int>>>")
+
+
+def balanced_group_folds(rows, salt, settings=SplitSettings(), group="group_id", out="fold"):
+    """One fold per group: largest first, always to the least filled fold."""
+    k = settings.cv_folds
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    classes = [(r["__size"], r["n"]) for r in sizes.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()]
-    if sum(n for _, n in classes) < k:
+    classes = stored(sizes.groupBy("__size").agg(F.count(F.lit(1)).alias("n")), "size-classes")
+    groups = classes.agg(F.sum("n")).first()[0] or 0
+    if groups < k:
         raise ValueError(f"{salt}: fewer groups than requested folds")
-    plan = fill_plan(classes, k)
-    schema = "__size bigint, __plan array<struct<start:bigint,turn:array<int>>>"
-    table = spark.createDataFrame([(size, segments) for size, segments in plan.items()], schema)
-    if len(plan) <= BROADCAST_CLASSES:
-        table = F.broadcast(table)
     ranked = hash_rank(sizes.withColumn("__hash", seeded_hash(settings.seed, salt, F.col(group))), "__hash",
-                       "__rank", within=["__size"])
+                       "__rank", within=["__size"], levels=bucket_levels(groups))
     segment = F.element_at(F.filter("__plan", lambda s: s["start"] <= F.col("__rank")), -1)
     offset = ((F.col("__rank") - F.col("__seg.start")) % F.size("__seg.turn")).cast("int")
-    return (ranked.join(table, "__size").withColumn("__seg", segment)
+    return (ranked.join(stored(filled(classes, k), "fold-plan"), "__size").withColumn("__seg", segment)
             .select(group, F.col("__seg.turn")[offset].alias(out), F.col("__size").alias("group_rows")))
 
 
@@ -106,11 +126,11 @@ def assign_partitions(rows, settings=SplitSettings(), spread=("row_uid",)):
     """
     ion, ok = F.col("working_ion"), F.col("eligible_for_baseline")
     core = rows.where(ok & ion.isin(*CORE_IONS))
-    held = hash_holdout(core, settings)
+    held = stored(hash_holdout(core, settings), "held")
     dev = core.join(held.where("not held"), "group_id", "left_semi")
     mixed = balanced_group_folds(dev, "mixed_cv", settings, out="mixed").select("group_id", "mixed")
     li = balanced_group_folds(dev.where(ion == "Li"), "li_cv", settings, out="li").select("group_id", "li")
-    per_group = (held.join(mixed, "group_id", "left").join(li, "group_id", "left"))
+    per_group = stored(held.join(mixed, "group_id", "left").join(li, "group_id", "left"), "group-folds")
     joined = _flag_groups(rows, per_group, "group_id", ["held", "mixed", "li"], spread)
     is_transfer = ok & ion.isin(*TRANSFER_IONS)
     partition = (F.when(~ok, "quarantine").when(ion.isin(*TRANSFER_IONS), F.concat(F.lit("held_out_"), ion))

@@ -165,3 +165,20 @@ def test_exact_median_per_scope_with_an_outlier(spark, rng):
     got = {r.scope: r.median for r in ranking.exact_median(df, [], "v", fold="fold", scopes=("scope", others)).collect()}
     for scope in (0, 1, 2, 3, -1):
         assert got[scope] == np.median([v for f, v in rows if f != scope and v is not None])
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_ranks_through_levels_of_buckets(spark, monkeypatch, levels):
+    monkeypatch.setattr(ranking, "LEVEL_DIGITS", 1)
+    rows = [(c, hashlib.sha256(f"{c}{i}".encode()).hexdigest()) for c in "ab" for i in range(400)]
+    got = {(r.c, r.h): r["rank"] for r in ranking.hash_rank(spark.createDataFrame(rows, "c string, h string"), "h", within=["c"], levels=levels).collect()}
+    want = {(c, h): i for c in "ab" for i, h in enumerate(sorted(h for k, h in rows if k == c))}
+    assert got == want
+    assert ranking.bucket_levels(10) == 1 and ranking.bucket_levels(10**9) > 1
+
+
+def test_plan_of_a_class_table_equals_the_list(spark):
+    r = random.Random(1)
+    classes = [(s, r.randrange(1, 50)) for s in r.sample(range(1, 4000), 1500)]
+    table = splits.filled(spark.createDataFrame(classes, "__size long, n long").repartition(7), 6).collect()
+    assert {t["__size"]: [(s.start, s.turn) for s in t["__plan"]] for t in table} == splits.fill_plan(classes, 6)
