@@ -293,6 +293,28 @@ def scope_guard(claimed, rows, folds, group="group_id"):
             .withColumn("valid", F.col("row_digest").eqNullSafe(F.col("__actual")) & (F.col("overlap_groups") == 0)).drop("__actual"))
 
 
+def scope_claims(rows, folds, population, feature_digest):
+    """What fits of a population's scopes may claim: population, scope, rows, their digest, and that of the feature schema."""
+    return training_digests(rows, folds).select(
+        F.lit(population).alias("population"), "scope", "train_rows", "row_digest", F.lit(feature_digest).alias("feature_digest"))
+
+
+def scope_audit(claimed, actual):
+    """Status of every claimed or existing (population, scope): ok, unclaimed, unknown_scope, other_features or other_rows."""
+    keys = ["population", "scope"]
+    mine = actual.select(*keys, "train_rows", F.struct("row_digest", "feature_digest").alias("have"))
+    theirs = claimed.select(*keys, F.struct("row_digest", "feature_digest").alias("want"))
+    status = (F.when(F.col("want").isNull(), "unclaimed").when(F.col("have").isNull(), "unknown_scope")
+              .when(~F.col("want.feature_digest").eqNullSafe(F.col("have.feature_digest")), "other_features")
+              .when(~F.col("want.row_digest").eqNullSafe(F.col("have.row_digest")), "other_rows").otherwise("ok"))
+    return mine.join(theirs, keys, "full_outer").select(*keys, "train_rows", status.alias("status"))
+
+
+def assert_scopes(audit):
+    """Turn an audit of scopes into an error on the first that isn't ok."""
+    return audit.withColumn("verdict", F.when(F.col("status") != "ok", F.raise_error(F.concat_ws(" ", F.lit("scope refused:"), "population", F.col("scope").cast("string"), "status"))).otherwise("ok"))
+
+
 def materialize_fold(rows, folds):
     """Rows repeated per scope with their side: validation in their own fold, training elsewhere.
 

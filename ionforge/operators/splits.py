@@ -218,3 +218,45 @@ def fold_invariants(rows, allowed_ions, uid="row_uid", group="group_id", ion="io
     spans = rows.where(is_dev).groupBy(group).agg((F.min(fold) != F.max(fold)).alias("bad")).agg(F.count_if("bad"))
     repeats = rows.groupBy(uid).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1))
     return base.withColumns({"groups_spanning_folds": spans.scalar(), "repeated_uids": repeats.scalar()})
+
+
+ROLES = ("development", "holdout", *[f"held_out_{i}" for i in TRANSFER_IONS])
+
+
+def split_guard(rows, folds, uid="row_uid", group="group_id", ion="ion", fold="fold", role="role", partition="partition",
+                eligible="eligible", y="y", values="val"):
+    """Rows (groups, ids) that break each rule of a split feature table: columns ``rule, n``, all zero for a sound one."""
+    c = F.col
+    known = F.coalesce(c(role).isin(*ROLES), F.lit(False))
+    development, transfer = c(role) == "development", c(role).startswith("held_out_")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    in_core = c(ion).isin(*CORE_IONS)
+    rules = {
+        "missing_uid": ~F.coalesce(c(uid) != "", F.lit(False)),
+        "missing_group": ~F.coalesce(c(group) != "", F.lit(False)),
+        "unknown_role": ~known,
+        "role_against_partition": known & ~c(role).eqNullSafe(c(partition)),
+        "ineligible_row": ~F.coalesce(c(eligible), F.lit(False)),
+        "ion_against_role": known & ~F.coalesce(F.when(transfer, c(role) == F.concat(F.lit("held_out_"), c(ion))).otherwise(in_core), F.lit(False)),
+        "development_without_fold": development & ~F.coalesce(c(fold).between(0, folds - 1), F.lit(False)),
+        "fold_outside_development": known & ~development & ~F.coalesce(c(fold) == -1, F.lit(False)),
+        "nonfinite_target": ~F.coalesce(finite(c(y)), F.lit(False)),
+        "nonfinite_features": ~F.coalesce(F.forall(values, finite), F.lit(False)),
+    }
+    per_row = rows.agg(*[F.count_if(test).alias(name) for name, test in rules.items()])
+    grouped = rows.where(F.coalesce(c(group) != "", F.lit(False))).groupBy(group).agg(
+        F.coalesce(F.min(F.when(development, c(fold))) != F.max(F.when(development, c(fold))), F.lit(False)).alias("spans"),
+        (F.bool_or(F.coalesce(development, F.lit(False))) & F.bool_or(F.coalesce(c(role) == "holdout", F.lit(False)))).alias("held"))
+    per_group = grouped.agg(F.count_if("spans").alias("group_spans_folds"), F.count_if("held").alias("group_in_development_and_holdout"))
+    repeats = rows.where(F.coalesce(c(uid) != "", F.lit(False))).groupBy(uid).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_uid"))
+    sides = rows.agg(F.coalesce(F.bool_or(development), F.lit(False)).alias("d")).select(F.when(F.col("d"), 0).otherwise(1).cast("bigint").alias("empty_development"))
+    out = None
+    for table in (per_row, per_group, repeats, sides):
+        part = table.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in table.columns])))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def assert_split(guard):
+    """Turn a split's guard into an error that names the first broken rule."""
+    return guard.withColumn("verdict", F.when(F.col("n") > 0, F.raise_error(F.concat(F.lit("split rule broken: "), "rule"))).otherwise("ok"))

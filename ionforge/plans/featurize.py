@@ -109,6 +109,20 @@ def scope_guard(spark, sf):
     return _scope(preprocess.scope_guard(claimed, rows, flows.FOLDS)).select("scope", "train_rows", "row_digest", "overlap_groups", "valid")
 
 
+def scope_audit(spark, sf):
+    """Claims of both populations: one scope over other rows, one over other features, one missing, one that doesn't exist."""
+    rows, own = flows.vectors(spark, sf).where("ion NOT IN ('Na', 'K')"), None
+    for population, ions in flows.POPULATIONS.items():
+        part = preprocess.scope_claims(rows if ions is None else rows.where(F.col("ion").isin(*ions)), flows.FOLDS, population, features.SCHEMA_HASH)
+        own = part if own is None else own.unionByName(part)
+    scope, mixed = F.col("scope"), F.col("population") == "mixed_ions"
+    claimed = own.where(~(mixed & (scope == 3))).withColumns({
+        "row_digest": F.when(mixed & (scope == 2), "0:0").otherwise(F.col("row_digest")),
+        "feature_digest": F.when(~mixed & (scope == 1), "other").otherwise(F.col("feature_digest"))})
+    claimed = claimed.unionByName(claimed.where(mixed & (scope == 0)).withColumn("scope", F.lit(9)))
+    return _scope(preprocess.scope_audit(claimed, own))
+
+
 def _two_column_model(spark, sf):
     rows = flows.once(spark, sf, "twocol", lambda: flows.two_columns(spark, sf))
     states = flows.once(spark, sf, "twocol-states", lambda: preprocess.fit_states(rows, 2, flows.FOLDS))
@@ -193,6 +207,9 @@ QUERIES = {
         FROM rx, (SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS scope) s GROUP BY 1, 2"""),
     "scope_guard": (scope_guard, f"""{WITH}, d AS (SELECT scope, count(*) AS train_rows, concat(count(*), ':', sum(CAST(('0x' || substr(sha256(concat('u', k)), 1, 15)) AS BIGINT))) AS dig
         FROM rx, {_SCOPES} s WHERE c % 5 <> scope GROUP BY 1) SELECT scope, train_rows, CASE WHEN scope = 2 THEN '0:0' ELSE dig END AS row_digest, CAST(0 AS BIGINT) AS overlap_groups, scope <> 2 AS valid FROM d"""),
+    "scope_audit": (scope_audit, f"""{WITH}, own AS (SELECT 'mixed_ions' AS population, c % 5 AS fold FROM rx WHERE ion NOT IN ('Na', 'K') UNION ALL SELECT 'li_only', c % 5 FROM rx WHERE ion = 'Li')
+        SELECT population, scope, count(*) AS train_rows, CASE WHEN population = 'mixed_ions' AND scope = 2 THEN 'other_rows' WHEN population = 'mixed_ions' AND scope = 3 THEN 'unclaimed'
+          WHEN population = 'li_only' AND scope = 1 THEN 'other_features' ELSE 'ok' END AS status FROM own, {_SCOPES} s WHERE fold <> scope GROUP BY 1, 2 UNION ALL SELECT 'mixed_ions', 9, NULL, 'unknown_scope'"""),
     "fit_pca": (fit_pca, f"{_CORR} SELECT scope, 0::BIGINT AS component, round(1 + abs(r), 6) AS eigenvalue, CAST(0.5 AS DOUBLE) AS squared_loading FROM c UNION ALL SELECT scope, 1, round(1 - abs(r), 6), 0.5 FROM c"),
     "explained_variance": (explained_variance, f"""{_CORR} SELECT scope, 0::BIGINT AS component, round((1 + abs(r)) / 2, 6) AS ratio, round((1 + abs(r)) / 2, 6) AS cumulative FROM c
         UNION ALL SELECT scope, 1, round((1 - abs(r)) / 2, 6), CAST(1 AS DOUBLE) FROM c"""),

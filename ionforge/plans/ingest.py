@@ -56,8 +56,12 @@ def write_interval_tables(spark, sf):
 def write_split_tables(spark, sf):
     path = scratch_path(spark, "split")
     rows = flows.split(spark, sf)
-    tables.write_split_tables(rows.select("partition", "row_uid", "source_row", "mixed_cv_fold"), path, "mixed_ions")
-    return spark.read.parquet(path).select("model", "partition", "source_row", F.col("mixed_cv_fold").cast("bigint").alias("fold"))
+    columns = lambda fold: ["partition", "row_uid", "source_row", F.col(fold).cast("bigint").alias("fold")]
+    own = rows.where("partition LIKE 'held_out_%' OR partition IN ('development', 'holdout') AND working_ion = 'Li'")
+    for _ in range(2):  # a rerun replaces what the first has written
+        tables.write_split_tables(rows.select(*columns("mixed_cv_fold")), path, "mixed_ions")
+        tables.write_split_tables(own.select(*columns("li_cv_fold")), path, "li_only")
+    return spark.read.parquet(path).select("model", "partition", "source_row", "fold")
 
 
 def write_feature_table(spark, sf):
@@ -210,7 +214,8 @@ QUERIES = {
         UNION ALL SELECT 7, 'discarded_unfinished_line'"""),
     "read_strict_csv": (read_strict_csv, "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name, concat(' \"q\", ', p_type) AS quoted, '' AS blank FROM part"),
     "write_interval_tables": (write_interval_tables, f"{INSPECTED} SELECT k, i, coalesce(wion, '') AS wion, issues, warnings FROM insp"),
-    "write_split_tables": (write_split_tables, f"{WITH}, {SPLIT} SELECT 'mixed_ions' AS model, partition, source_row, mixed_cv_fold AS fold FROM split"),
+    "write_split_tables": (write_split_tables, f"""{WITH}, {SPLIT} SELECT 'mixed_ions' AS model, partition, source_row, mixed_cv_fold AS fold FROM split
+        UNION ALL SELECT 'li_only', partition, source_row, li_cv_fold FROM split WHERE partition LIKE 'held_out_%' OR partition IN ('development', 'holdout') AND working_ion = 'Li'"""),
     "write_feature_table": (write_feature_table, f"""{WITH} SELECT 'mixed_ions' AS model, CASE WHEN ion IN ('Na', 'K') THEN 'transfer' ELSE 'development' END AS role,
         CAST(c % 5 AS INT) AS fold, count(*) AS n, round(sum(CAST(mv AS DOUBLE) / 1000), 4) AS sum_y, CAST(32 * count(*) AS BIGINT) AS nonzeros FROM rx GROUP BY ALL"""),
     "file_manifest": (file_manifest, """SELECT p_partkey % 4 AS bucket, sum(length(line) + 1)::BIGINT AS bytes, sha256(string_agg(concat(line, chr(10)), '' ORDER BY p_partkey)) AS sha256

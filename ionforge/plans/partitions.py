@@ -85,6 +85,18 @@ def fold_invariants(spark, sf):
     return splits.fold_invariants(rows, IONS)
 
 
+def split_guard(spark, sf):
+    """Every rule of the split over feature rows with one kind of fault each."""
+    k = F.col("k")
+    rows = flows.modelled(spark, sf)
+    fold = F.when(F.col("role") != "development", -1).when(k % 89 == 0, 7).when(k % 83 != 0, F.col("fold"))
+    rows = rows.withColumn("partition", F.when(k % 67 == 0, "holdout").otherwise(F.col("role"))).withColumns({
+        "row_uid": F.when(k % 41 == 0, "").otherwise(F.concat(F.lit("u"), k - (k % 97 == 0).cast("bigint"))), "group_id": F.when(k % 59 != 0, F.col("group_id")),
+        "fold": fold, "eligible": k % 71 != 0, "ion": F.when(k % 73 == 0, "Na").otherwise(F.col("ion")), "y": F.when(k % 53 == 0, float("nan")).otherwise(F.col("y")),
+        "val": F.when(k % 79 == 0, F.array(F.lit(float("inf")))).otherwise(F.col("val")), "role": F.when(k % 61 == 0, "archive").otherwise(F.col("role"))})
+    return splits.split_guard(rows, flows.FOLDS)
+
+
 _TOK = """SELECT {extra}, 'group' AS kind, group_id AS token FROM {src} UNION ALL SELECT {extra}, 'record', record_key FROM {src}
   UNION ALL SELECT {extra}, 'endpoint', id_charge FROM {src} UNION ALL SELECT {extra}, 'endpoint', id_discharge FROM {src}
   UNION ALL SELECT {extra}, 'host', canonical_host FROM {src}"""
@@ -132,4 +144,19 @@ QUERIES = {
         CAST(count_if(ion = 'Rb') AS BIGINT) AS unexpected_ion, CAST(count_if(bad_y) AS BIGINT) AS nonfinite_target, CAST(count_if(uid = '') AS BIGINT) AS missing_uid,
         (SELECT count(*) FROM (SELECT c FROM t WHERE NOT held GROUP BY c HAVING min(fold) <> max(fold))) AS groups_spanning_folds,
         (SELECT count(*) FROM (SELECT uid FROM t GROUP BY uid HAVING count(*) > 1)) AS repeated_uids FROM t"""),
+    "split_guard": (split_guard, f"""{WITH}, b AS (SELECT k, c, ion AS ion0, CASE WHEN ion IN ('Na', 'K') THEN concat('held_out_', ion) WHEN c % 10 = 0 THEN 'holdout' ELSE 'development' END AS role0 FROM rx),
+        t AS (SELECT k, CASE WHEN k % 59 <> 0 THEN c END AS grp, CASE WHEN k % 41 = 0 THEN '' ELSE concat('u', CASE WHEN k % 97 = 0 THEN k - 1 ELSE k END) END AS uid,
+          CASE WHEN k % 67 = 0 THEN 'holdout' ELSE role0 END AS part, CASE WHEN k % 61 = 0 THEN 'archive' ELSE role0 END AS role, CASE WHEN k % 73 = 0 THEN 'Na' ELSE ion0 END AS ion,
+          CASE WHEN role0 <> 'development' THEN -1 WHEN k % 89 = 0 THEN 7 WHEN k % 83 <> 0 THEN c % 5 END AS fold FROM b),
+        u AS (SELECT *, role <> 'archive' AS known, role LIKE 'held_out_%' AS held FROM t)
+        SELECT 'missing_uid' AS rule, count_if(uid = '')::BIGINT AS n FROM u UNION ALL SELECT 'missing_group', count_if(grp IS NULL) FROM u UNION ALL SELECT 'unknown_role', count_if(NOT known) FROM u
+        UNION ALL SELECT 'role_against_partition', count_if(known AND role <> part) FROM u UNION ALL SELECT 'ineligible_row', count_if(k % 71 = 0) FROM u
+        UNION ALL SELECT 'ion_against_role', count_if(known AND NOT CASE WHEN held THEN role = concat('held_out_', ion) ELSE ion NOT IN ('Na', 'K') END) FROM u
+        UNION ALL SELECT 'development_without_fold', count_if(role = 'development' AND coalesce(fold, -1) NOT BETWEEN 0 AND 4) FROM u
+        UNION ALL SELECT 'fold_outside_development', count_if(known AND role <> 'development' AND coalesce(fold, 0) <> -1) FROM u
+        UNION ALL SELECT 'nonfinite_target', count_if(k % 53 = 0) FROM u UNION ALL SELECT 'nonfinite_features', count_if(k % 79 = 0) FROM u
+        UNION ALL SELECT 'group_spans_folds', count(*) FROM (SELECT grp FROM u WHERE grp IS NOT NULL AND role = 'development' GROUP BY 1 HAVING min(fold) <> max(fold))
+        UNION ALL SELECT 'group_in_development_and_holdout', count(*) FROM (SELECT grp FROM u WHERE grp IS NOT NULL GROUP BY 1 HAVING bool_or(role = 'development') AND bool_or(role = 'holdout'))
+        UNION ALL SELECT 'repeated_uid', count(*) FROM (SELECT uid FROM u WHERE uid <> '' GROUP BY 1 HAVING count(*) > 1)
+        UNION ALL SELECT 'empty_development', 1 - max((role = 'development')::INT) FROM u"""),
 }

@@ -38,14 +38,13 @@ def write_interval_tables(rows, path, columns=INTERVAL_FIELDS, fmt="csv"):
 
 
 def write_split_tables(rows, path, model, order=("row_uid", "source_row")):
-    """Rows partitioned by (model, partition) and sorted by identity inside each file.
+    """Rows of a model partitioned by partition and sorted by identity inside each file.
 
     Range partitioning keeps the order global and splits a dominant partition
-    over many tasks.
+    over many tasks. A rerun replaces the model's tables and leaves the others.
     """
-    (rows.withColumn("model", F.lit(model)).repartitionByRange("partition", *order)
-     .sortWithinPartitions("partition", *order)
-     .write.mode("append").partitionBy("model", "partition").parquet(path))
+    (rows.repartitionByRange("partition", *order).sortWithinPartitions("partition", *order)
+     .write.mode("overwrite").partitionBy("partition").parquet(f"{path}/model={model}"))
     return path
 
 
