@@ -13,6 +13,7 @@ HEADLINE = (
     "repeated_reaction_review", "connected_groups", "connected_groups_bipartite", "hash_holdout", "balanced_group_folds",
     "assign_partitions", "cv_leakage_audit", "assemble_features", "fit_all_folds", "fit_pca", "median_baseline",
     "regression_metrics", "subgroup_metrics", "score_batch", "profile_contiguity",
+    "rbf_ridge", "rbf_eps_regression", "tree_regression", "model_search",
 )
 
 
