@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Text that a vocabulary was made for needs few tokens; random letters and
-digits need many. Runs of key characters that mix letters and digits count as
-secrets when they have less than ``ratio`` characters per token. Runs that are
-known digests or identifiers are left out first: hexadecimal strings of the
-usual digest lengths, UUIDs, dates, numbers with a unit, dotted or hyphenated
-names whose parts are plain words or plain numbers.
+digits need many. In a run of key characters, the parts between separators
+that have fewer than ``ratio`` characters per token are its random parts; the run counts
+as a secret when these have ``RANDOM_CHARS`` characters or more. Plain words and
+names of plain parts have a high ratio and fall out by the test itself. Only
+known digests and identifiers are left out before it: hexadecimal strings of the usual
+digest lengths, UUIDs, and runs of digits and separators (numbers, dates).
 
 Defined results: null text counts as empty; empty texts have no spans; spans
 are code points, end exclusive, over the whole text of any length; equal texts
-have equal spans; a run inside a pattern's span is not reported again; an
-empty table gives an empty result; extra columns stay.
+have equal spans; what a pattern's span covers is not reported again, and what
+of a run lies before or after one is a run of its own; an empty table gives an
+empty result; extra columns stay.
 """
 
 import base64
@@ -35,11 +37,14 @@ MAY_HEX = r"[0-9a-f]{32}"
 MAY_RANDOM = r"[A-Za-z0-9+/_=-]{20}"
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-RATIO = 2.2
+LEAST_RUN = 20
+RATIO = 2.0
+RANDOM_CHARS = 16
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-PARTS = re.compile(r"[A-Za-z]+|[0-9]{1,12}")
-SEPARATORS = re.compile(r"[-_/=+]+")
+NUMBER = re.compile(r"[0-9_/=+-]+")
+HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+PARTS = re.compile(r"[A-Za-z0-9]+")
 
 
 @lru_cache(maxsize=2)
@@ -52,21 +57,51 @@ def encoding(path, pattern):
 
 
 def known(run):
-    """Whether a run is a digest, an identifier or made of plain words and numbers."""
-    hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run)
-    if hexadecimal and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
-        return True
-    if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)):
-        return True
-    return all(PARTS.fullmatch(p) for p in SEPARATORS.split(run) if p)
+    """Whether a run is a digest, a UUID or made of digits and separators only."""
+    digest = len(run) in DIGEST_LENGTHS and HEXADECIMAL.fullmatch(run)
+    return bool(digest or UUID.fullmatch(run) or NUMBER.fullmatch(run))
 
 
-def random_runs(text, vocab, ratio=RATIO):
-    """Spans of runs with few characters per token."""
+def random_part(run, vocab, ratio=RATIO):
+    """Start and end within a run from its first to its last random part; None if these are too short."""
+    found = []
+    for m in PARTS.finditer(run):
+        part = m.group()
+        if not part.isdigit() and len(part) < ratio * len(vocab.encode_ordinary(part)):
+            found.append(m)
+    if sum(m.end() - m.start() for m in found) < RANDOM_CHARS:
+        return None
+    return found[0].start(), found[-1].end()
+
+
+def random_runs(text, vocab, covered=(), ratio=RATIO):
+    """Spans of random strings outside the covered spans (sorted, by start)."""
+    at, n = 0, len(covered)
     for m in RUN.finditer(text):
-        run = m.group()
-        if not known(run) and len(run) < ratio * len(vocab.encode_ordinary(run)):
-            yield m.start(), m.end()
+        start, end = m.span()
+        while at < n and covered[at][1] <= start:
+            at += 1
+        pieces, k = [], at
+        while k < n and covered[k][0] < end:
+            pieces.append((start, covered[k][0]))
+            start = max(start, covered[k][1])
+            k += 1
+        for a, b in [*pieces, (start, end)]:
+            if b - a >= LEAST_RUN and not known(text[a:b]):
+                span = random_part(text[a:b], vocab, ratio)
+                if span:
+                    yield a + span[0], a + span[1]
+
+
+def merged(spans):
+    """Sorted disjoint spans that cover the same."""
+    out = []
+    for a, _, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def spans_of(text, vocab, may=(True, True, True, True), ratio=RATIO):
@@ -79,8 +114,7 @@ def spans_of(text, vocab, may=(True, True, True, True), ratio=RATIO):
     if may[2]:
         found += [(m.start(), 2, m.end()) for m in HEX_RE.finditer(text)]
     if may[3]:
-        base = sorted((a, b) for a, _, b in found)
-        found += [(a, 3, b) for a, b in random_runs(text, vocab, ratio) if not any(a < y and x < b for x, y in base)]
+        found += [(a, 3, b) for a, b in random_runs(text, vocab, merged(found), ratio)]
     return sorted(found)
 
 
