@@ -149,12 +149,24 @@ def population_states(states):
 
 
 def changed_counts(rows, states, out="changed_constants"):
-    """Add how many columns that are constant in the training of a row's population differ in the row."""
-    fixed = states.where(~F.col("active")).groupBy("population").agg(F.collect_list(F.struct("idx", "mean")).alias("__fixed"))
-    joined = rows.join(F.broadcast(fixed), "population", "left").withColumn("__x", F.map_from_arrays("idx", "val"))
-    value = lambda c: F.coalesce(F.try_element_at(F.col("__x"), c["idx"]), F.lit(0.0))
-    count = F.size(F.filter(F.coalesce("__fixed", F.array().cast(fixed.schema["__fixed"].dataType)), lambda c: F.abs(value(c) - c["mean"]) > SUPPORT_TOLERANCE))
-    return joined.withColumn(out, count).drop("__fixed", "__x")
+    """Add how many columns that are constant in the training of a row's population differ in the row.
+
+    Only a row's own entries are visited: each is compared with its column's
+    constant, found by position, and constants other than zero without an entry
+    are counted by what is missing.
+    """
+    fixed = {}
+    for r in states.select("population", "idx", "active", "mean").collect():  # populations x width rows
+        means = fixed.setdefault(r["population"], {})
+        means[r["idx"]] = None if r["active"] else float(r["mean"])
+    table = [(p, [m.get(i) for i in range(max(m) + 1)], sum(v is not None and abs(v) > SUPPORT_TOLERANCE for v in m.values())) for p, m in fixed.items()]
+    table = rows.sparkSession.createDataFrame(table, "population string, __means array<double>, __set int")
+    joined = rows.join(F.broadcast(table), "population", "left")
+    constant = lambda e: F.get("__means", e["idx"])
+    entries = F.arrays_zip("idx", "val")
+    other = F.size(F.filter(entries, lambda e: F.abs(e["val"] - constant(e)) > SUPPORT_TOLERANCE))
+    present = F.size(F.filter(entries, lambda e: F.abs(constant(e)) > SUPPORT_TOLERANCE))
+    return joined.withColumn(out, F.coalesce(other + F.col("__set") - present, F.lit(0))).drop("__means", "__set")
 
 
 #: Entries of a packed matrix in one shuffled row, and partial matrices added up in one task.
