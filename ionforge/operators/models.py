@@ -53,11 +53,29 @@ def gamma_scale(rows, scope, width):
     return n.join(sums, list(scope)).select(*scope, F.when(var > 0, 1.0 / (F.lit(width) * var)).otherwise(1.0).alias("gamma"))
 
 
+def _scope_sums(rows, folds, *columns):
+    """Per scope: rows ``n``, mean of every column and centred products ``a_b``, from one row of sums per fold.
+
+    Products are taken about the overall means, so adding folds up doesn't cancel.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    rows = rows.where(F.col(columns[-1]).isNotNull())
+    centre = {c: rows.agg(F.avg(c)).scalar() for c in columns}
+    products = [(F.covar_pop(a, b) * F.count(F.lit(1))).alias(f"{a}_{b}") for a, b in pairs]
+    per_fold = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns], *products)
+    moved = per_fold.select("fold", "n", *[(F.col(c) - centre[c]).alias(c) for c in columns], *[f"{a}_{b}" for a, b in pairs], *[centre[c].alias(f"__{c}") for c in columns])
+    sums = moved.withColumn("scope", F.explode(_other_scopes(folds))).groupBy("scope").agg(
+        F.sum("n").alias("n"), *[F.first(f"__{c}").alias(f"__{c}") for c in columns], *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in columns],
+        *[F.sum(F.col(f"{a}_{b}") + F.col("n") * F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
+    return sums.select("scope", "n", *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in columns],
+                       *[(F.col(f"{a}_{b}") - F.col("n") * F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
+
+
 def target_transform(rows, folds, y="y"):
     """Training mean and population std of the target per scope (std below 1e-12 becomes 1)."""
-    per_scope = rows.withColumn("scope", F.explode(_other_scopes(folds)))
-    std = F.stddev_pop(y)
-    return per_scope.groupBy("scope").agg(F.avg(y).alias("offset"), F.when(std < 1e-12, 1.0).otherwise(std).alias("scale"))
+    sums = _scope_sums(rows.select("fold", F.col(y).alias("y")), folds, "y")
+    std = F.sqrt(F.greatest(F.col("y_y") / F.col("n"), F.lit(0.0)))
+    return sums.select("scope", F.col("y").alias("offset"), F.when(std < 1e-12, 1.0).otherwise(std).alias("scale"))
 
 
 def inverse_target(pred, offset, scale):
@@ -66,11 +84,9 @@ def inverse_target(pred, offset, scale):
 
 def linear_ridge(rows, folds, x, y, alpha):
     """One-feature ridge per scope in closed form from centred sums."""
-    per_scope = rows.withColumn("scope", F.explode(_other_scopes(folds)))
-    sxy = F.covar_pop(x, y) * F.count(F.lit(1))
-    sxx = F.var_pop(x) * F.count(F.lit(1))
-    slope = sxy / (sxx + F.lit(alpha))
-    return per_scope.groupBy("scope").agg(slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"))
+    sums = _scope_sums(rows.select("fold", F.col(x).alias("x"), F.col(y).alias("y")), folds, "x", "y")
+    slope = F.col("x_y") / (F.col("x_x") + F.lit(alpha))
+    return sums.select("scope", slope.alias("slope"), (F.col("y") - slope * F.col("x")).alias("intercept"))
 
 
 class RandomFeatures:
