@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ionforge.functions.keys import fingerprint
 from ionforge.operators.skew import attach
+from ionforge.session import stored
 
 
 def flag_exact_duplicate_rows(rows, content_hash, position, out="exact_duplicate", base=None):
@@ -34,19 +35,18 @@ def resolve_metadata(records, requested, key="material_id"):
     Returns ``(accepted, issues)``; issues are rejected (not requested),
     conflicting (several contents) or unresolved (requested, nothing accepted).
     """
-    content = [c for c in records.columns]
-    hashed = records.withColumn("__fp", fingerprint(records, content))
-    wanted = requested.select(key).distinct()
-    known = hashed.join(wanted, key, "left_semi")
-    verdict = known.groupBy(key).agg(_varies("__fp").alias("__bad"))
-    unique = known.dropDuplicates([key, "__fp"])
-    accepted = unique.join(verdict.where(~F.col("__bad")), key, "left_semi").select(*content)
-    issue = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(key))
-    rejected = hashed.where(F.col(key).isNull()).unionByName(hashed.join(wanted, key, "left_anti").where(F.col(key).isNotNull()))
-    issues = (issue(rejected, "rejected_metadata_id")
-              .unionByName(issue(verdict.where("__bad"), "conflicting_metadata"))
-              .unionByName(issue(missing_ids(wanted, accepted, key), "unresolved_metadata")))
-    return accepted, issues
+    content, fp = list(records.columns), fingerprint(records, list(records.columns))
+    # copies of a record collapse before the shuffle: an id is one row, however often it repeats
+    one = records.select(F.col(key).alias("__key"), F.struct(*content).alias("record"), fp.alias("__fp")).groupBy("__key").agg(
+        F.min_by("record", "__fp").alias("record"), _varies("__fp").alias("bad"))
+    wanted = requested.where(F.col(key).isNotNull()).select(F.col(key).alias("__wanted")).distinct()
+    found = stored(one.join(wanted, F.col("__key") == F.col("__wanted"), "full_outer"), "metadata")
+    unknown, absent = F.col("__wanted").isNull(), F.col("record").isNull()
+    kinds = F.array_compact(F.array(
+        F.when(unknown, "rejected_metadata_id"), F.when(~unknown & ~absent & F.col("bad"), "conflicting_metadata"),
+        F.when(~unknown & (absent | F.col("bad")), "unresolved_metadata")))
+    issues = found.select(F.explode(kinds).alias("kind"), F.coalesce("__key", "__wanted").alias(key))
+    return found.where(~unknown & ~absent & ~F.col("bad")).select("record.*"), issues
 
 
 def missing_ids(requested, resolved, key="material_id"):

@@ -69,3 +69,13 @@ def test_a_torn_line_is_numbered_across_splits(spark, tmp_path):
         assert good.count() == 500 and [(r.kind, r.line) for r in issues.collect()] == [("discarded_unfinished_line", 500 + 72 + 1)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_metadata_is_accepted_once_or_named(spark):
+    from ionforge.operators.dedup import resolve_metadata
+    rows = [("a", "x")] * 5 + [("b", "x"), ("b", "y"), ("c", None), ("d", "x"), (None, "x")]
+    records_, wanted = spark.createDataFrame(rows, "material_id string, status string"), spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("e",), (None,)], "material_id string")
+    accepted, issues = resolve_metadata(records_, wanted)
+    assert sorted(map(tuple, accepted.collect())) == [("a", "x"), ("c", None)] and accepted.columns == records_.columns
+    assert sorted((r.kind, str(r.material_id)) for r in issues.collect()) == [
+        ("conflicting_metadata", "b"), ("rejected_metadata_id", "None"), ("rejected_metadata_id", "d"), ("unresolved_metadata", "b"), ("unresolved_metadata", "e")]
