@@ -174,6 +174,37 @@ def dataset_report(rows, partition="partition", category="working_ion", group="g
                  F.grouping_id().cast("bigint").alias("grain")))
 
 
+def run_report(documents, rows, split, audits, fingerprint="record_key", partition="partition", group="group_id"):
+    """One table of a whole run: ``section, item, n``.
+
+    Documents (raw, unique, without pairs, missing pairs), interval rows (all,
+    passed, complete), every issue and warning code, rows and groups of each
+    partition, groups and the largest one, and what the leak audits found.
+    Every part is a small aggregate with map-side combine.
+    """
+    pairs = F.coalesce("adj_pairs", F.array().cast(documents.schema["adj_pairs"].dataType))
+    named = lambda section, table: table.select(F.lit(section).alias("section"), F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("bigint").alias("n")) for c in table.columns])))
+    flags_of = lambda column: flag_counts(rows, column).select(F.lit(column).alias("section"), F.col("flag").alias("item"), "n")
+    per_group = split.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    shared = [c for c in audits.columns if c.startswith("shared_")]
+    by_partition = split.groupBy(partition).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("groups"))
+    by_partition = by_partition.select(F.explode(F.array(*[F.struct(F.lit(f"partition_{c}").alias("section"), F.col(partition).alias("item"), F.col(c).alias("n")) for c in ("rows", "groups")])).alias("x")).select("x.*")
+    parts = [
+        named("documents", documents.agg(
+            F.count(F.lit(1)).alias("raw"), F.countDistinct(fingerprint).alias("unique"), F.count_if(F.size(pairs) == 0).alias("without_pairs"),
+            F.sum(F.size(F.filter(pairs, lambda p: p.isNull()))).alias("missing_pairs"))),
+        named("intervals", rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("basic_checks_passed").alias("passed"), F.count_if("complete_basic_inputs").alias("complete"))),
+        flags_of("issues"), flags_of("warnings"), by_partition,
+        named("groups", per_group.agg(F.count(F.lit(1)).alias("number"), F.max("size").alias("largest"))),
+        named("checks", audits.agg(F.count(F.lit(1)).alias("fold_pairs"), F.sum(sum((F.col(c) for c in shared), F.lit(0))).alias("shared_tokens"),
+                                   F.count_if((F.col("train_rows") == 0) | (F.col("validation_rows") == 0)).alias("empty_sides"))),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def inspect_documents(documents, materials, position):
     """Full ingest: collapse copies, explode, join metadata, apply rules and identity checks."""
     keyed = collapse_exact_documents(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ionforge.functions import composition as comp
 from ionforge.functions.keys import fingerprint, row_uid, set_digest
-from ionforge.operators import dedup, formulas, intervals, validate
+from ionforge.operators import dedup, formulas, intervals, splits, validate
 from ionforge.plans import flows
 from ionforge.plans.fixtures import (ALL_FACTS, GROUPED, HOST_TEXT, LABEL_FACT, REVIEW_FACTS, RULE_FACTS, SPLIT, SYMMETRY_FACTS, WITH, balanced,
                                      clean, composition_text, fact_any, fact_text, raw, table)
@@ -173,6 +173,14 @@ def dataset_report(spark, sf):
     return intervals.dataset_report(flows.split(spark, sf))
 
 
+def run_report(spark, sf):
+    """Documents, intervals, codes, partitions, groups and leak checks of the whole run in one table."""
+    split = flows.split(spark, sf)
+    audits = splits.cv_leakage_audit(split, "mixed_cv_fold", "mixed_ions").unionByName(splits.cv_leakage_audit(split, "li_cv_fold", "li_only"))
+    documents = intervals.with_record_key(flows.documents(spark, sf))
+    return intervals.run_report(documents, flows.repeated_checked(spark, sf), split, audits)
+
+
 def priority_review_list(spark, sf):
     return validate.priority_review_list(flows.validated(spark, sf)).select("source_row", "working_ion", "label")
 
@@ -265,6 +273,15 @@ QUERIES = {
     "label_profile": (label_profile, f"""{IDENTITY} SELECT coalesce(wion, 'UNKNOWN') AS ion, count(*) AS n_rows, CAST(count_if(passed) AS BIGINT) AS passed, CAST(count_if(complete) AS BIGINT) AS complete,
         CAST(count_if(volt IS NULL) AS BIGINT) AS missing, CAST(count_if(volt < 0) AS BIGINT) AS negative, CAST(count_if(volt = 0) AS BIGINT) AS zero, round(min(volt), 6) AS min_label, round(max(volt), 6) AS max_label,
         round(avg(volt), 6) AS mean_label, round(median(volt), 6) AS median_label FROM flagged GROUP BY 1"""),
+    "run_report": (run_report, f"""{IDENTITY}, {SPLIT}, token AS (SELECT 'issues' AS section, unnest(string_split(issues, ';')) AS item FROM flagged WHERE issues <> ''
+          UNION ALL SELECT 'warnings', unnest(string_split(all_warnings, ';')) FROM flagged WHERE all_warnings <> '')
+        SELECT 'documents' AS section, 'raw' AS item, count(*)::BIGINT AS n FROM rx UNION ALL SELECT 'documents', 'unique', count(*) FROM rx UNION ALL SELECT 'documents', 'without_pairs', count_if(k % 4 = 0) FROM rx
+        UNION ALL SELECT 'documents', 'missing_pairs', count(*) FROM rx, unnest(range(k % 4)) t(i) WHERE (k + i) % 21 = 0
+        UNION ALL SELECT 'intervals', 'rows', count(*) FROM flagged UNION ALL SELECT 'intervals', 'passed', count_if(passed) FROM flagged UNION ALL SELECT 'intervals', 'complete', count_if(complete) FROM flagged
+        UNION ALL SELECT section, item, count(*) FROM token GROUP BY 1, 2
+        UNION ALL SELECT 'partition_rows', partition, count(*) FROM split GROUP BY 2 UNION ALL SELECT 'partition_groups', partition, count(DISTINCT group_id) FROM split GROUP BY 2
+        UNION ALL SELECT 'groups', 'number', count(DISTINCT group_id) FROM split UNION ALL SELECT 'groups', 'largest', max(n) FROM (SELECT count(*) AS n FROM split GROUP BY group_id)
+        UNION ALL SELECT 'checks', 'fold_pairs', 20 UNION ALL SELECT 'checks', 'shared_tokens', 0 UNION ALL SELECT 'checks', 'empty_sides', 0"""),
     "dataset_report": (dataset_report, f"""{WITH}, {SPLIT} SELECT partition, working_ion, count(*) AS n_rows, count(DISTINCT group_id) AS n_groups,
         CAST(grouping(partition, working_ion) AS BIGINT) AS grain FROM split GROUP BY GROUPING SETS ((partition), (partition, working_ion), ())"""),
     "priority_review_list": (priority_review_list, f"""{WITH} SELECT k AS source_row, CASE WHEN f % 47 = 0 THEN 'Rb' ELSE ion END AS working_ion, CAST(mv AS DOUBLE) / 1000 AS label
