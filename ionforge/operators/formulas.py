@@ -1,21 +1,16 @@
-"""Formulas parsed once each: a stored table of the distinct ones, looked up by their rows.
-
-Formulas repeat far more often than their rows differ, and parsing is the most
-expensive expression of the library. The distinct formulas (with the working
-ion, where a host is wanted) are counted with map-side combine, parsed, and
-stored; rows find theirs by a lookup that stays balanced when one formula holds
-a large share of them (``operators/skew.py``). The rows' table is read twice, so
-it should be stored or cheap to read; the first reading takes the formulas only.
-
-Defined results: a null formula finds nothing, so its structs are null; a
-formula that doesn't parse has its error and null parts; a null ion removes no
-element.
+"""The distinct formulas of a table with their parse.
+
+Formulas are parsed where their rows are (``functions/composition.py``): looking
+them up in a table of the distinct ones would shuffle the rows once per formula
+column, and distinct formulas grow with the rows.
+
+Defined results: a null formula isn't in the table; a formula that doesn't parse
+has its error and null parts; a null ion removes no element.
 """
 
 from pyspark.sql import functions as F
 
 from ionforge.functions.composition import host_key, parse_formulas, reduce_composition, with_host
-from ionforge.operators.skew import attach_stored
 from ionforge.session import stored
 
 ION = "__ion"
@@ -34,19 +29,6 @@ def formula_table(rows, columns, ion=None):
     return stored(found.select(*keys, "n", F.struct(*parts).alias("found")), "formulas")
 
 
-def attach_formulas(rows, table, spread, ion=None, **columns):
-    """Add ``out``: what the table knows of the formula in a column, struct(parsed, reduced, key[, host])."""
-    if ion:
-        rows = rows.withColumn(ION, F.coalesce(F.col(ion), F.lit("")))
-    for out, column in columns.items():
-        named = table.withColumnsRenamed({"formula": column, "found": out})
-        rows = attach_stored(rows, named, [column] + ([ION] if ion else []), [out], spread)
-    return rows.drop(ION)
-
-
 def parse_distinct(rows, spread, **columns):
-    """``parse_formulas`` with every distinct formula parsed once: adds struct(comp, error) per ``out=formula_column``."""
-    table = formula_table(rows, list(columns.values()))
-    rows = attach_formulas(rows, table, spread, **columns)
-    missing = F.struct(F.lit(None).cast("array<struct<e:string,n:bigint>>").alias("comp"), F.lit("empty_or_oversized").alias("error"))
-    return rows.withColumns({out: F.coalesce(F.col(out)["parsed"], missing) for out in columns})
+    """``parse_formulas``; a task parses a formula once while it remembers it. ``spread`` is not needed any more."""
+    return parse_formulas(rows, **columns)

@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from ionforge.constants import CORE_IONS, SIDES, TRANSFER_IONS, SplitSettings
-from ionforge.functions.composition import host_key, parse_formulas, reduce_composition
+from ionforge.functions.composition import host_key, parse_formulas, reduce_composition, with_algebra
 from ionforge.functions.keys import fingerprint, row_uid
 from ionforge.functions.values import crystal_system, finite_number, has_text, is_digits, stripped
 from ionforge.operators.dedup import flag_exact_duplicate_rows, flag_identity_conflict
-from ionforge.operators.formulas import attach_formulas, formula_table
 from ionforge.operators.skew import attach, attach_stored
 from ionforge.rules import canonical_flags, flags, join_flags
 from ionforge.session import stored
@@ -19,8 +18,6 @@ REQUIRED = (
     "fracA_discharge", "average_voltage_V", "crystal_system_charge", "crystal_system_discharge",
     "spacegroup_number_charge", "spacegroup_number_discharge",
 )
-#: What spreads rows with a very frequent key.
-IDENTITY = ("record_key", "interval_index")
 
 
 def require_columns(rows, names=REQUIRED):
@@ -36,24 +33,23 @@ def row_identity(rows, content):
                              "input_row_hash": fingerprint(rows, content)})
 
 
-def with_reaction_algebra(rows, ion="working_ion", spread=IDENTITY):
-    """Add host structs, reduced framework and reduced endpoint keys; every distinct formula is parsed once per ion."""
-    table = formula_table(rows, ["formula_charge", "formula_discharge", "framework_formula"], ion)
-    rows = attach_formulas(rows, table, list(spread), ion, __fc="formula_charge", __fd="formula_discharge", __ff="framework_formula")
-    made = {f"__host_{s}": F.col(f"__f{s[0]}")["host"] for s in SIDES} | {f"reduced_{s}": F.col(f"__f{s[0]}")["key"] for s in SIDES}
-    return rows.withColumns({**made, "__framework": F.col("__ff")["reduced"]}).drop("__fc", "__fd", "__ff")
+def with_reaction_algebra(rows, ion="working_ion"):
+    """Add per endpoint and framework the reduced host with its loading and fraction, and the endpoints' reduced keys, in one pass of the rows."""
+    rows = with_algebra(rows, ion, __host_charge="formula_charge", __host_discharge="formula_discharge", __ff="framework_formula")
+    return rows.withColumns({f"reduced_{s}": F.col(f"__host_{s}")["key"] for s in SIDES} | {"__framework": F.col("__ff")["key"]}).drop("__ff")
 
 
 def reaction_consistency(rows, tolerance=1e-6):
     """Per-row verdicts of the two endpoints against each other and the framework."""
     hc, hd = F.col("__host_charge"), F.col("__host_discharge")
-    both = hc.isNotNull() & hd.isNotNull()
+    both = hc["host"].isNotNull() & hd["host"].isNotNull()
     same = F.coalesce(hc["host"] == hd["host"], F.lit(False))
     on_framework = F.coalesce(hc["host"] == F.col("__framework"), F.lit(False))
     delta = hd["loading"] - hc["loading"]
     added = {}
+    rows = rows.withColumns({f"__supplied_{s}": finite_number(F.col(f"fracA_{s}")) for s in SIDES})
     for side in SIDES:
-        h, supplied = F.col(f"__host_{side}"), finite_number(F.col(f"fracA_{side}"))
+        h, supplied = F.col(f"__host_{side}"), F.col(f"__supplied_{side}")
         added[f"computed_fracA_{side}"] = h["fraction"]
         added[f"ion_per_reduced_host_{side}"] = h["loading"]
         added[f"fraction_error_{side}"] = F.abs(h["fraction"] - supplied)
@@ -61,10 +57,10 @@ def reaction_consistency(rows, tolerance=1e-6):
         **added, "delta_ion_per_reduced_host": delta,
         "host_changed": both & ~same, "framework_mismatch": both & same & ~on_framework,
         "non_increasing_loading": F.coalesce(delta <= 0, F.lit(False)),
-        "canonical_host": F.when(both & same & on_framework, host_key("__host_charge.host")).otherwise(""),
+        "canonical_host": F.when(both & same & on_framework, hc["host"]).otherwise(""),
     })
     mismatch = {f"fraction_mismatch_{s}": F.coalesce(F.col(f"fraction_error_{s}") > tolerance, F.lit(False)) for s in SIDES}
-    return rows.withColumns(mismatch)
+    return rows.withColumns(mismatch).drop(*[f"__supplied_{s}" for s in SIDES])
 
 
 def validation_rules(rows, settings=SplitSettings()):
@@ -73,6 +69,10 @@ def validation_rules(rows, settings=SplitSettings()):
     The composition verdict is taken before the symmetry rules are added.
     """
     rows = reaction_consistency(with_reaction_algebra(require_columns(rows)), settings.fraction_tolerance)
+    # numbers that several rules read are columns, so each is parsed once
+    rows = rows.withColumns({"__voltage": finite_number(F.col("average_voltage_V")), **{f"__given_{s}": finite_number(F.col(f"fracA_{s}")) for s in SIDES},
+                             **{f"__number_{s}": F.when(is_digits(F.col(f"spacegroup_number_{s}")), F.col(f"spacegroup_number_{s}").try_cast("int")) for s in SIDES},
+                             **{f"__system_{s}": F.lower(stripped(F.col(f"crystal_system_{s}"))) for s in SIDES}})
     optional = lambda name: F.col(name) if name in rows.columns else F.lit("")
     composition = [
         ("unsupported_working_ion", ~F.coalesce(F.col("working_ion").isin(*CORE_IONS, *TRANSFER_IONS), F.lit(False))),
@@ -82,11 +82,11 @@ def validation_rules(rows, settings=SplitSettings()):
         ("unresolved_step3_issue", has_text(optional("issues"))),
     ]
     for s in SIDES:
-        supplied = finite_number(F.col(f"fracA_{s}"))
+        supplied = F.col(f"__given_{s}")
         composition += [
             (f"missing_endpoint_id_{s}", ~has_text(F.col(f"id_{s}"))),
             (f"invalid_fraction_{s}", ~F.coalesce((supplied >= 0) & (supplied < 1), F.lit(False))),
-            (f"unsupported_or_invalid_formula_{s}", F.col(f"__host_{s}").isNull()),
+            (f"unsupported_or_invalid_formula_{s}", F.col(f"__host_{s}")["host"].isNull()),
             (f"formula_fraction_mismatch_{s}", F.col(f"fraction_mismatch_{s}")),
         ]
     composition += [
@@ -97,8 +97,7 @@ def validation_rules(rows, settings=SplitSettings()):
     ]
     symmetry = []
     for s in SIDES:
-        text, system = F.col(f"spacegroup_number_{s}"), F.lower(stripped(F.col(f"crystal_system_{s}")))
-        number = F.when(is_digits(text), text.try_cast("int"))
+        text, system, number = F.col(f"spacegroup_number_{s}"), F.col(f"__system_{s}"), F.col(f"__number_{s}")
         blank = ~F.coalesce((text != "") & (system != ""), F.lit(False))
         in_range = F.coalesce(number.between(1, 230), F.lit(False))
         symmetry += [
@@ -107,7 +106,7 @@ def validation_rules(rows, settings=SplitSettings()):
             (f"spacegroup_crystal_system_mismatch_{s}",
              ~blank & in_range & ~F.coalesce(crystal_system(number) == system, F.lit(False))),
         ]
-    voltage = finite_number(F.col("average_voltage_V"))
+    voltage = F.col("__voltage")
     priority = F.coalesce((voltage < settings.review_low) | (voltage > settings.review_high), F.lit(False))
     review = [
         ("battery_id_absent_using_record_key", ~has_text(optional("battery_id"))),
@@ -123,7 +122,7 @@ def validation_rules(rows, settings=SplitSettings()):
         "symmetry_checks_passed": F.size("__symmetry") == 0,
         "review_flags": canonical_flags(flags(review), carried),
         "priority_voltage_review": priority, "label": voltage,
-    }).drop("__composition", "__symmetry", "__host_charge", "__host_discharge")
+    }).drop("__composition", "__symmetry", "__framework", "__voltage", *[f"__{n}_{s}" for n in ("host", "given", "number", "system") for s in SIDES])
 
 
 def _reduced_endpoint_keys(rows):
