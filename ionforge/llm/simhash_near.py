@@ -14,9 +14,12 @@ together by shared shingles, and the shingle sets alone decide:
 3. a key's rows are cut by set size and sorted by it. A pair is discarded only
    where it can't reach the similarity: its sizes differ too much, or more of
    512 parities of the sets differ than shingles of similar sets can;
-4. cells of more than ``block_rows`` rows are cut into blocks by hash, and every
-   pair of blocks is a group of its own;
-5. a cell of many pairs reports forests of the pairs of different roots, those
+4. the pivot tables of ``simhash.links`` bring together sets whose fingerprints
+   differ in 3 bits at most; they are compared in the first round;
+5. cells of more than ``block_rows`` rows are cut into blocks by hash; once
+   copies have one root, the rows of other roots visit every block, or, where
+   they are the greater part, every pair of blocks is a group of its own;
+6. a cell of many pairs reports forests of the pairs of different roots, those
    of least SimHash distance first. Their shingle sets are compared, roots
    joined, and cells with more pairs take part again, until every pair of
    different roots that share a key has been compared.
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ionforge.llm.common import rowed
-from ionforge.llm.simhash import SEED, WORDS, components
+from ionforge.llm.simhash import DISTANCE, SEED, WORDS, components, links
 from ionforge.session import stored
 
 
@@ -331,6 +334,50 @@ def verified(sets, pairs, settings):
     return both.where(common >= settings.similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def simhash_pairs(prints):
+    """Pairs of sets (u > v) that SimHash brings together: fingerprints found by the pivot tables of ``simhash.links``, or equal ones."""
+    own = prints.where("n > 0").select("fp", "node").distinct()
+    first = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    equal = own.join(first, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(first.select("fp"), DISTANCE).withColumnsRenamed({"u": "a", "v": "b"})
+    for side, end in (("a", "u"), ("b", "v")):
+        near = near.join(first.select(F.col("fp").alias(side), F.col("first").alias(end)), side)
+    return equal.unionByName(near.select("u", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def with_roots(rows, roots):
+    """Rows of sets with the root of each, itself where it has none."""
+    return rows.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def dealt_blocks(within, roots, settings):
+    """The rows of large cells that still hold several roots, in groups where every pair of different roots meets.
+
+    Of such a pair one row at least isn't of the cell's largest root. Where few
+    rows aren't, these visit every block, and the others stay in theirs, so a
+    family of copies costs its size. Else every pair of blocks is a group.
+    """
+    zero, no, yes = F.lit(0), F.lit(False), F.lit(True)
+    spread = F.xxhash64("node", "key")
+    cell = ["key", "range"]
+    of_rows = with_roots(within, roots)
+    sizes = of_rows.groupBy(*cell, "root").agg(F.count("*").alias("rows"))
+    most = sizes.groupBy(*cell).agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "root")).alias("most"))
+    open_cells = stored(most.where(F.col("all") > F.col("most.rows")).select(*cell, F.col("most.root").alias("main"), (F.col("all") - F.col("most.rows")).alias("rest"), "all"), "near-open")
+    dealt = of_rows.join(open_cells, cell).withColumn("own", F.pmod(spread, F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("teams", F.ceil(F.col("rest") / settings.block_rows).cast("int")).withColumn("few", 2 * F.col("rest") <= F.col("all"))
+    # residents of block i meet one another, and every team j of visitors
+    team = F.pmod(F.xxhash64("key", "node", F.lit(1)), F.col("teams")).cast("int")
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"))
+    own, blocks = F.col("own"), F.col("blocks")
+    stay = F.concat(F.array(place(own, own, no)), F.transform(F.sequence(zero, F.col("teams") - 1), lambda t: place(own, blocks + t, no)))
+    visit = F.when(F.col("root") == F.col("main"), F.array().cast("array<struct<i:int,j:int,side:boolean>>")).otherwise(
+        F.transform(F.sequence(zero, blocks - 1), lambda b: place(b, blocks + team, yes)))
+    pairs = F.transform(F.sequence(zero, blocks - 1), lambda b: place(F.least(own, b), F.greatest(own, b), own > b))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("few"), F.concat(stay, visit)).otherwise(pairs)))
+    return dealt.withColumn("linking", no).select(*cell, "shown", "n", "fp", "bits", "node", "root", "at.i", "at.j", "at.side", "linking")
+
+
 def linked(docs, prints, settings):
     """The root of every set that has near-duplicates (columns fp, root).
 
@@ -355,32 +402,24 @@ def linked(docs, prints, settings):
         at = F.pmod(spread, F.col("blocks") * settings.link_share).cast("int")
         chain = within.withColumn("i", at).where("i < blocks").withColumns({"j": F.col("i"), "side": no, "linking": F.lit(True)}).drop("blocks")
         rows = rows.unionByName(chain)
-    roots = links = tested = sets = None
+    roots = similar = tested = sets = None
     count = settings.forests
+    rows = rows.withColumn("root", F.col("node"))
     while True:
-        if roots is None:
-            rows = rows.withColumn("root", F.col("node"))
-        else:
-            rows = rows.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         found = stored(candidates(rows, settings, count), "near-candidates")
-        pairs = found.where("u IS NOT NULL").select("u", "v").distinct()
+        pairs = found.where("u IS NOT NULL").select("u", "v")
+        pairs = (pairs.unionByName(simhash_pairs(prints)) if tested is None else pairs).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "near-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if sets is None:  # later rounds have no other nodes: a forest takes every node that has a pair
             nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
             sets = stored(shingle_sets(docs, nodes.unionByName(within.select("node")) if cut else nodes, settings), "near-sets")
         near = stored(verified(sets, pairs, settings), "near-links")
-        links = near if links is None else links.unionByName(near)
-        roots = stored(components(links), "near-roots")
-        rows = found.where("u IS NULL AND NOT linking").drop("u", "v")
+        similar = near if similar is None else similar.unionByName(near)
+        roots = stored(components(similar), "near-roots")
+        rows = with_roots(found.where("u IS NULL AND NOT linking").drop("u", "v"), roots)
         if cut:
-            of_rows = within.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_cells = of_rows.groupBy("key", "range").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "range")
-            own = F.pmod(spread, F.col("blocks")).cast("int")
-            dealt = within.join(open_cells, ["key", "range"], "left_semi").withColumn("own", own)
-            dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-            dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.col("own") > F.col("other"), "linking": no})
-            rows, cut = rows.unionByName(dealt.drop("blocks", "own", "other")), False
+            rows, cut = rows.unionByName(dealt_blocks(within, roots, settings)), False
         if rows.isEmpty():
             return roots
         count *= 4
