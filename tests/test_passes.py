@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ionforge.operators import models, preprocess
+from ionforge.operators import models, preprocess, search, trees
 from ionforge.plans import fixtures
-from ionforge.session import TASK_ROWS, stored
+from ionforge.session import TASK_ROWS, scratch_path, stored
 
 WIDTH, FOLDS, N = 12, 3, 300
 
@@ -51,6 +51,15 @@ def test_a_first_fit_of_some_rows_changes_no_minimum(table, monkeypatch):
         assert a[:5] == b[:5] and np.abs(a[5] - b[5]).max() < 1e-6
 
 
+def test_trees_of_all_populations_share_their_passes(spark, table, monkeypatch):
+    grid = [dict(c, parameters={"trees": 2, "depth": 2}) for c in models.candidates() if c["family"] == "tree"]
+    found = search.Search(table[-2], {"mixed_ions": None, "li_only": ["Li"]}, FOLDS, WIDTH, scratch_path(spark, "search"), grid, components=3, size=8)
+    levels, real = [], trees.level_sums
+    monkeypatch.setattr(trees, "level_sums", lambda *a: levels.append(1) or real(*a))
+    assert found.run() == 12 and len(levels) <= 4
+    assert {(r.missing_rows, r.repeated_rows) for r in found.summary().collect()} == {(0, 0)}
+
+
 def test_rows_of_one_row_group_are_dealt_over_all_tasks(spark, tmp_path):
     """Splits of a large file without the start of a row group are empty, so the number of splits says nothing."""
     n = 4 * TASK_ROWS
