@@ -166,7 +166,7 @@ def fit_pca_features(spark, sf):
 def support_diagnostics(spark, sf):
     """Columns constant over the lithium rows that differ in sodium and potassium rows."""
     rows = flows.vectors(spark, sf)
-    states = flows.once(spark, sf, "li-states", lambda: preprocess.fit_states(stored(rows.where("ion = 'Li'"), "li"), WIDTH, flows.FOLDS))
+    states = flows.once(spark, sf, "li-states", lambda: preprocess.fit_states(rows.where("ion = 'Li'"), WIDTH, flows.FOLDS))
     transfer = rows.where("ion IN ('Na', 'K')").withColumn("scope", F.lit(preprocess.ALL))
     changed = preprocess.support_diagnostics(transfer, states, ["row_uid", "ion"])
     return changed.groupBy("ion", "idx").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -80,8 +80,7 @@ def prediction_warnings(spark, sf):
 def changed_constants(spark, sf):
     """Out-of-support columns per request against the lithium training states."""
     rows = flows.vectors(spark, sf)
-    states = flows.once(spark, sf, "li-states", lambda: preprocess.fit_states(
-        flows.once(spark, sf, "li-rows", lambda: rows.where("ion = 'Li'")), WIDTH, flows.FOLDS))
+    states = flows.once(spark, sf, "li-states", lambda: preprocess.fit_states(rows.where("ion = 'Li'"), WIDTH, flows.FOLDS))
     changed = preprocess.support_diagnostics(rows.withColumn("scope", F.lit(preprocess.ALL)), states, ["k"])
     return changed.groupBy("k").agg(F.count(F.lit(1)).alias("changed"))
 

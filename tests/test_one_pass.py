@@ -1,10 +1,13 @@
 """Vectors, training states and their diagnostics in one pass over the rows, against plain versions."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ionforge.constants import ATOMIC_NUMBER
 from ionforge.functions import composition
+from ionforge.operators import preprocess
 
 PLAIN = ["H", "Fe2O3", "Li1Fe3[P(O2)2]1", "FeFe2(OFe)3", "((H2)3O)10", "(" * 12 + "H" + ")" * 12, "Mg999999O"]
 ODD = [None, "", "2Fe", "e", "3", "(", "Fe(OH", "Fe)2(", "(H]", "Fe0", "Fe01", "Fe1000000", "Fe1000001", "()", "H(2O)", "Qq2", "Fe O", "FéO", "a9Fe", "H" * 1025,
@@ -30,3 +33,42 @@ def test_formulas_of_a_batch_are_read_as_one_by_one(rng):
 def test_plain_formulas_are_not_read_one_by_one(monkeypatch):
     monkeypatch.setattr(composition, "parse", lambda text: pytest.fail(f"{text} was parsed alone"))
     assert len(composition.atoms_of(pa.array(PLAIN, pa.string()))[0]) > len(PLAIN)
+
+
+def test_states_take_one_pass(spark, rng):
+    n, width, folds = 400, 6, 3
+    x = rng.normal(size=(n, width)) * (rng.random((n, width)) < 0.4)
+    x[:, 2] = 1e6 + rng.normal(size=n)
+    x[:, 3], x[:, 5] = 7.0, 0.0
+    data = [(int(i % folds), [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for i, r in enumerate(x)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "fold int, idx array<int>, val array<double>"
+    rows = spark.createDataFrame(data, schema).repartition(3).mapInArrow(counted, schema)
+    states = {(r["scope"], r["idx"]): r for r in preprocess.fit_states(rows, width, folds).collect()}
+    assert seen.value == n and len(states) == (folds + 1) * width
+    for (scope, j), r in states.items():
+        own = x[np.arange(n) % folds != scope, j]
+        assert r["train_rows"] == len(own) and r["active"] == (np.ptp(own) > 1e-12)
+        assert np.isclose(r["mean"], own.mean(), rtol=1e-12, atol=1e-12) and np.isclose(r["std"], own.std(), rtol=1e-6, atol=1e-9)
+
+
+def test_differing_columns_are_those_of_a_dense_comparison(spark, rng):
+    width, means = 8, np.array([0.0, 2.0, 0.0, -1.0, 0.5, 0.0, 0.0, 3.0])
+    states = spark.createDataFrame([(s, j, bool((j + s) % 4 == 0), float(means[j])) for s in (0, 1) for j in range(width)], "scope int, idx int, active boolean, mean double")
+    x = np.where(rng.random((200, width)) < 0.5, means, rng.integers(0, 3, (200, width)))
+    data = [(i, i % 3, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for i, r in enumerate(x)]
+    rows = spark.createDataFrame(data, "k long, scope int, idx array<int>, val array<double>").repartition(3)
+    want = {(i, j) for i in range(200) for j in range(width) if i % 3 < 2 and (j + i % 3) % 4 and abs(x[i, j] - means[j]) > 1e-9}
+    diagnosed = preprocess.support_diagnostics(rows, states, ["k"])
+    got = [(r["k"], r["idx"]) for r in diagnosed.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "lambda" not in diagnosed._jdf.queryExecution().executedPlan().toString()
+    named = lambda df: df.withColumn("population", F.concat(F.lit("p"), F.col("scope").cast("string"))).drop("scope")
+    counts = {r["k"]: r["changed_constants"] for r in preprocess.changed_counts(named(rows), named(states)).collect()}
+    assert counts == {i: sum(k == i for k, _ in want) for i in range(200)}
