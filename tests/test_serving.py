@@ -80,3 +80,13 @@ def test_a_non_finite_prediction_is_an_error(spark):
     models = {("mixed_ions", "svr"): constant(float("nan"))}
     with pytest.raises(Exception, match="non-finite"):
         scoring.score_batch(flows.clean_requests(spark, SF), flows.defaults(spark), models).collect()
+
+
+def test_a_batch_of_one_file_is_dealt_over_all_tasks(spark, tmp_path):
+    from ionforge.streaming.score import read_requests, score_stream
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    flows.clean_requests(spark, SF).coalesce(1).write.parquet(source)
+    stream = read_requests(spark, source, spark.read.parquet(source).schema)
+    score_stream(stream, flows.defaults(spark), flows.linear_models(spark), output, str(tmp_path / "progress")).awaitTermination()
+    rows = spark.read.parquet(output)
+    assert rows.count() == spark.read.parquet(source).count() and len(rows.inputFiles()) >= spark.sparkContext.defaultParallelism
