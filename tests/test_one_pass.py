@@ -72,3 +72,37 @@ def test_differing_columns_are_those_of_a_dense_comparison(spark, rng):
     named = lambda df: df.withColumn("population", F.concat(F.lit("p"), F.col("scope").cast("string"))).drop("scope")
     counts = {r["k"]: r["changed_constants"] for r in preprocess.changed_counts(named(rows), named(states)).collect()}
     assert counts == {i: sum(k == i for k, _ in want) for i in range(200)}
+
+
+def test_a_level_counts_what_plain_sums_count(rng, monkeypatch):
+    from ionforge.operators import trees
+    n, width, bins = 300, 5, 4
+    x = rng.integers(0, bins, (n, width)) * (rng.random((n, width)) < 0.6)
+    y, fold, li = rng.normal(size=n), np.arange(n) % 3, np.arange(n) % 2 == 0
+    y[7] = np.nan
+    ensembles = {}
+    for population, held, depth in (("all", 0, 3), ("all", 0, 2), ("li", -1, 3)):
+        e = trees.Ensemble(0.5, trees.TreeSettings(2, depth, bins), np.zeros(width), np.ones(width))
+        for _ in range(2):
+            size = 2 ** (depth + 1) - 1
+            e.split_column.append(np.where(np.arange(size) < 2, [1, 3] + [0] * (size - 2), -1))
+            e.split_bin.append(np.ones(size, np.int64))
+            e.value.append(rng.normal(size=size))
+        ensembles[f"c{depth}", population, held] = e
+    row, col = np.nonzero(x)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(fold, pa.int32()), pa.array(y), pa.array(np.ones(n, bool)), pa.array(li), trees._blobs(col.astype(np.uint16).tobytes(), 2 * ends), trees._blobs(x[row, col].astype(np.uint8).tobytes(), ends)],
+        ["fold", "y", "in0", "in1", "columns", "bins0"])
+    monkeypatch.setattr(trees, "CHUNK", 70)
+    found = trees.count_level([batch.slice(0, 100), batch.slice(100)], ensembles, {"all": None, "li": ["Li"]}, 1, width, [0, 0, 0])
+    for number, ((_, population, held), e) in enumerate(ensembles.items()):
+        want, dense = np.zeros((2, 2, width + 1, bins)), x.astype(float)
+        node, guess = e.leaves(dense, 1), e.predict(dense, 1)
+        for i in range(n):
+            if fold[i] != held and (li[i] or population == "all") and not np.isnan(y[i]):
+                at = 0 if x[i, 1] <= 1 else 1  # the nodes of depth 1
+                assert node[i] in ((2,) if at else (3, 4))
+                for j, b in [(width, 0)] + [(j, x[i, j]) for j in range(width) if x[i, j]]:
+                    want[:, at, j, b] += 1, y[i] - guess[i]
+        assert np.allclose(found[number].reshape(want.shape), want)
